@@ -5,7 +5,8 @@ Shards are the leaves of a vantage-point tree built from a bounded sample
 where a second tree is searched.  Queries go to their own shard and to the shards
 that the triangle inequality, relaxed by ``relax``, does not rule out: a shard is
 skipped where its lower bound exceeds ``relax`` times the distance of the query's
-k-th neighbour.  ``relax=1`` restores exact search; ``None`` picks the smallest
+k-th neighbour.  Their number grows with the square root of the rows (a query's
+copies with a small power of that) until a shard would pass ``most_per_shard``.  ``relax=1`` restores exact search; ``None`` picks the smallest
 factor that keeps ``target_recall`` on probes whose true neighbours were found by
 one exact pass over all rows.
 
@@ -35,6 +36,7 @@ from frameatlas.llm.vptree import Tree, distances, nearest
 from frameatlas.runtime import materialize
 
 _ROUTED = "leaf int, h1 long, h2 long, ids array<long>, vec binary, slack float"
+LAST: dict[str, float] = {}  # what the latest call chose, for reports
 _FOUND = "h1 long, h2 long, near array<struct<dist: double, id: long>>"
 
 
@@ -80,7 +82,7 @@ def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarra
     return kth, vecs
 
 
-def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[np.ndarray], rows: int, leaf: int, target: float) -> float:
+def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[np.ndarray], rows: int, leaf: int, target: float, hint: float) -> float:
     """Smallest factor that keeps the target recall over a tree as deep as the whole index."""
     depth = max(1, min(9, int(np.log2(max(2, len(sample) / 16)))))
     tree = Tree(sample, depth, least=4, seed=1)
@@ -92,9 +94,9 @@ def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[n
         for lf, r, home in tree.visits(near[i], np.zeros(len(near[i]))):
             h[r[home]] = lf
         homes[i] = h
-    for relax in (0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7):
+    for relax in (0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7):
         seen: dict[int, set[int]] = {int(i): set() for i in ok}
-        for lf, r, _ in tree.visits(q[ok], relax * kth[ok]):
+        for lf, r, _ in tree.visits(q[ok], np.full(len(ok), relax * hint)):
             for j in r:
                 seen[int(ok[j])].add(lf)
         hit = np.mean([np.isin(homes[i], list(seen[int(i)])).mean() for i in ok]) if len(ok) else 1.0
@@ -104,8 +106,8 @@ def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[n
 
 
 def most_similar(
-    df: DataFrame, item: str, row: str, vector: str, k: int = 5, size: int = 128, relax: float | None = None, target_recall: float = 0.98,
-    shard_rows: int = 16_384, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192,
+    df: DataFrame, item: str, row: str, vector: str, k: int = 5, size: int = 128, relax: float | None = None, target_recall: float = 0.97,
+    shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, most_per_shard: int = 250_000,
 ) -> DataFrame:
     """``(item, neighbour_id, distance)``: k rows per item with a usable vector."""
     spark = df.sparkSession
@@ -122,9 +124,11 @@ def most_similar(
     sample = _matrix(base.df.where(F.pmod(F.col("h1"), F.lit(1_000_003)) < F.lit(int(take * 1_000_003) + 1)).orderBy("h2").limit(sample_rows).select("vec").toArrow()["vec"], size)
     q = sample[: min(probes, len(sample))]
     kth, near = _probe(base.df, q, k, size)
-    hint = float(np.nanmax(kth)) if np.isfinite(kth).any() else 1.0
-    factor = relax if relax is not None else _pick_relax(sample, q, kth, near, n, leaf_rows, target_recall)
-    top = Tree(sample, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))), least=1, seed=2)
+    hint = 1.25 * float(np.nanmax(kth)) if np.isfinite(kth).any() else 1.0
+    factor = relax if relax is not None else _pick_relax(sample, q, kth, near, n, leaf_rows, target_recall, hint)
+    wanted = shards or max(n ** 0.5 / 20, n / most_per_shard)
+    top = Tree(sample, int(np.ceil(np.log2(max(1, wanted)))), least=1, seed=2)
+    LAST.update(relax=factor, hint=hint, shards=len(top.leaves), rows=n)
     shared = spark.sparkContext.broadcast(top)  # at most 2 x sample_rows vectors
 
     def routed(h1, h2, idlists, x, slack_rows, done_slack):

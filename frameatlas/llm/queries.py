@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameatlas.llm import canon, components, neighbours, topn
+from frameatlas.llm import canon, components, gridcluster, neighbours, topn, toxicity
 from frameatlas.runtime import table
 
 
@@ -21,6 +21,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(latest.where("cluster_dist >= 0"), "cluster_id", "cluster_dist", "image_id", 10).select("cluster_id", "image_id")
 
 
+def _posture_groups(spark: SparkSession, sf_dir: str):
+    members = gridcluster.density_groups(table(spark, sf_dir, "encodings_migration"), "image_id", "encoding_id", "body_landmarks")
+    if members is None:
+        members = spark.createDataFrame([], "item long, group long, cell_n long, gap double, size long")
+    return members, gridcluster.name_groups(members, table(spark, sf_dir, "imagesarmsposes3d"), "image_id", "cluster_id", "assigned_at")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, names = _posture_groups(spark, sf_dir)
+    return members.join(names, "group", "left").select(members["item"].alias("image_id"), names["name"].alias("cluster_id"))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, name and typical images of every posture group."""
+    return gridcluster.describe_groups(*_posture_groups(spark, sf_dir)).withColumnRenamed("group", "group_id").withColumnRenamed("name", "cluster_id")
+
+
 _P1_SQL = """
 WITH RECURSIVE l AS (SELECT DISTINCT image_id AS a, is_dupe_of AS b FROM encodings_migration WHERE is_dupe_of IS NOT NULL AND is_dupe_of <> 0 AND image_id IS NOT NULL AND image_id <> is_dupe_of),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
@@ -36,5 +53,5 @@ WITH latest AS (SELECT image_id, cluster_id, cluster_dist FROM (
 usable AS (SELECT * FROM latest WHERE cluster_id IS NOT NULL AND cluster_dist IS NOT NULL AND NOT isnan(cluster_dist) AND cluster_dist >= 0)
 SELECT cluster_id, image_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cluster_dist, image_id) AS r FROM usable) AS x WHERE r <= 10"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, **canon.QUERIES}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups, **canon.QUERIES, **toxicity.QUERIES}
 SQL = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, **canon.SQL}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+FAR = 4.0
+
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of ``q`` to all rows of ``x``."""
@@ -18,10 +20,18 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Of a few candidates the one whose distances to a few points spread most."""
-    some = x[rng.choice(len(x), min(len(x), 256), replace=False)]
-    cand = x[rng.choice(len(x), min(len(x), 8), replace=False)]
-    return cand[np.argmax(distances(cand, some).std(1))]
+    """The candidate whose distances to a few points spread most.
+
+    Candidates are points of the node and points far outside it along its widest
+    directions; a vantage point may lie anywhere, and the farther the spread reaches,
+    the fewer queries fall into the slack around the median.
+    """
+    some = x[rng.choice(len(x), min(len(x), 512), replace=False)].astype(np.float64)
+    mean = some.mean(0)
+    val, vec = np.linalg.eigh((some - mean).T @ (some - mean) / len(some))
+    reach = FAR * np.sqrt(max(val.sum(), 1e-12))
+    cand = np.concatenate([some[:4], mean + reach * vec[:, -3:].T]).astype(np.float32)
+    return cand[np.argmax(distances(cand, some.astype(np.float32)).std(1))]
 
 
 class Tree:
