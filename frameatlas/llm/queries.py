@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameatlas.llm import canon, components, gridcluster, neighbours, topn, toxicity, truncation
+from frameatlas.llm import canon, components, gridcluster, mixing, neighbours, packing, topn, toxicity, truncation
 from frameatlas.runtime import table
 
 
@@ -53,5 +53,5 @@ WITH latest AS (SELECT image_id, cluster_id, cluster_dist FROM (
 usable AS (SELECT * FROM latest WHERE cluster_id IS NOT NULL AND cluster_dist IS NOT NULL AND NOT isnan(cluster_dist) AND cluster_dist >= 0)
 SELECT cluster_id, image_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cluster_dist, image_id) AS r FROM usable) AS x WHERE r <= 10"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups, **canon.QUERIES, **truncation.QUERIES, **toxicity.QUERIES}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups, **canon.QUERIES, **truncation.QUERIES, **packing.QUERIES, **mixing.QUERIES, **toxicity.QUERIES}
 SQL = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, **canon.SQL}
