@@ -20,7 +20,7 @@ members, so a third of all rows with one vector are one point in one shard.
 
 Defined cases: null, short, non-finite and all-zero vectors are left out; of
 several usable vectors of one item the one with the smallest row id counts; ties in
-distance go to the smaller item; with at most k other items all of them come out;
+distance (vectors are held to 1/32767 of their largest component) go to the smaller item; with at most k other items all of them come out;
 empty tables give no rows; other columns are ignored.
 """
 
@@ -40,18 +40,31 @@ LAST: dict[str, float] = {}  # what the latest call chose, for reports
 _FOUND = "h1 long, h2 long, near array<struct<dist: double, id: long>>"
 
 
-def usable(v: str, size: int):
-    c = F.col(v)
-    return (F.size(c) == size) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists(c, lambda x: x != 0)
+def pack(x: np.ndarray) -> list[bytes]:
+    """Vectors as a float32 scale and int16 steps: half the bytes, 1/32767 of the largest component exact."""
+    scale = (np.abs(x).max(1, initial=0.0) / 32767.0).astype(np.float32)
+    steps = np.rint(x / np.maximum(scale, 1e-30)[:, None]).astype("<i2")
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale, steps)]
 
 
-def _matrix(col, size: int) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    if isinstance(col, pa.ChunkedArray):
-        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
-        return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, size)
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
+def unpack(col, size: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, 4 + 2 * size)
+    scale = flat[:, :4].copy().view(np.float32)
+    return flat[:, 4:].copy().view("<i2").astype(np.float32) * scale
+
+
+def packed(df: DataFrame, item: str, row: str, vector: str, size: int) -> DataFrame:
+    """``item, row, vec``: the usable vectors, packed."""
+
+    def run(batches):
+        for b in batches:
+            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
+            at = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("item").filter(at), b.column("row").filter(at), pa.array(pack(x[ok]), pa.binary())], names=["item", "row", "vec"])
+
+    src = df.select(F.col(item).cast("long").alias("item"), F.col(row).cast("long").alias("row"), F.col(vector).alias("vec"))
+    return src.where(F.col("item").isNotNull() & (F.size("vec") == size)).mapInArrow(run, "item long, row long, vec binary")
 
 
 def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -60,7 +73,9 @@ def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarra
     def scan(batches):
         best: list[list[tuple[float, bytes]]] = [[] for _ in range(len(q))]
         for b in batches:
-            x = _matrix(b.column("vec"), size)
+            x = unpack(b.column("vec"), size)
+            if not len(x):
+                continue
             d = distances(q, x)
             d[d < 1e-3] = np.inf  # the probe itself
             m = min(k, len(x))
@@ -111,29 +126,29 @@ def most_similar(
 ) -> DataFrame:
     """``(item, neighbour_id, distance)``: k rows per item with a usable vector."""
     spark = df.sparkSession
-    src = df.select(F.col(item).cast("long").alias("item"), F.col(row).cast("long").alias("row"), F.col(vector).alias("vec")).where(F.col("item").isNotNull() & usable("vec", size))
-    ids = src.select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
-    firsts = materialize(ids.groupBy("item").agg(F.min(F.struct("row", "h1", "h2")).alias("m")).select("item", "m.*"), "knn-items")
+    src = materialize(packed(df, item, row, vector, size).select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "knn-packed")
+    firsts = materialize(src.df.groupBy("item").agg(F.min(F.struct("row", "h1", "h2")).alias("m")).select("item", "m.*"), "knn-items")
     smallest = firsts.df.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("item"))).where(F.col("r") <= k + 1)
     classes = smallest.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("item")).alias("ids"), F.min_by("row", "item").alias("row"))
-    base = materialize(src.drop("item").join(classes, "row").select("h1", "h2", "ids", "vec"), "knn-base")
+    base = materialize(src.df.select("row", "vec").join(classes, "row").select("h1", "h2", "ids", "vec"), "knn-base")
+    src.drop()
     n = base.rows()
     if n == 0:
         return firsts.df.select(F.col("item").alias(item), F.col("item").alias("neighbour_id"), F.lit(0.0).alias("distance")).limit(0)
     take = min(1.0, 1.3 * sample_rows / n)
-    sample = _matrix(base.df.where(F.pmod(F.col("h1"), F.lit(1_000_003)) < F.lit(int(take * 1_000_003) + 1)).orderBy("h2").limit(sample_rows).select("vec").toArrow()["vec"], size)
+    sample = unpack(base.df.where(F.pmod(F.col("h1"), F.lit(1_000_003)) < F.lit(int(take * 1_000_003) + 1)).orderBy("h2").limit(sample_rows).select("vec").toArrow()["vec"], size)
     q = sample[: min(probes, len(sample))]
     kth, near = _probe(base.df, q, k, size)
     hint = 1.25 * float(np.nanmax(kth)) if np.isfinite(kth).any() else 1.0
     factor = relax if relax is not None else _pick_relax(sample, q, kth, near, n, leaf_rows, target_recall, hint)
-    wanted = shards or max(n ** 0.5 / 20, n / most_per_shard)
+    wanted = shards or max(n**0.5 / 60, n / most_per_shard)
     top = Tree(sample, int(np.ceil(np.log2(max(1, wanted)))), least=1, seed=2)
     LAST.update(relax=factor, hint=hint, shards=len(top.leaves), rows=n)
     shared = spark.sparkContext.broadcast(top)  # at most 2 x sample_rows vectors
 
-    def routed(h1, h2, idlists, x, slack_rows, done_slack):
+    def routed(h1, h2, idlists, vec, slack_rows, done_slack):
         """Rows for the shards to visit; ``done_slack`` rules out what an earlier pass visited."""
-        tree = shared.value
+        tree, x = shared.value, unpack(vec, size)
         earlier = {}
         if done_slack is not None:
             for lf, r, _ in tree.visits(x, done_slack):
@@ -148,21 +163,20 @@ def most_similar(
             lists = idlists.take(at) if first else pa.nulls(len(keep), pa.list_(pa.int64()))
             if first:
                 lists = pa.array([v if h else None for v, h in zip(lists.to_pylist(), is_home)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), lf, np.int32)), h1.take(at), h2.take(at), lists, pa.array([v.tobytes() for v in x[keep]], pa.binary()), pa.array(slack_rows[keep].astype(np.float32))], names=["leaf", "h1", "h2", "ids", "vec", "slack"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), lf, np.int32)), h1.take(at), h2.take(at), lists, vec.take(at), pa.array(slack_rows[keep].astype(np.float32))], names=["leaf", "h1", "h2", "ids", "vec", "slack"])
 
     def first_pass(batches):
         for b in batches:
-            x = _matrix(b.column("vec"), size)
-            yield from routed(b.column("h1"), b.column("h2"), b.column("ids"), x, np.full(len(x), factor * hint), None)
+            yield from routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.full(b.num_rows, factor * hint), None)
 
     def second_pass(batches):
         for b in batches:
-            x, d = _matrix(b.column("vec"), size), b.column("kth").to_numpy(zero_copy_only=False)
+            d = b.column("kth").to_numpy(zero_copy_only=False)
             slack = np.where(np.isfinite(d), factor * d, np.inf)
-            yield from routed(b.column("h1"), b.column("h2"), None, x, slack, np.full(len(x), factor * hint))
+            yield from routed(b.column("h1"), b.column("h2"), None, b.column("vec"), slack, np.full(b.num_rows, factor * hint))
 
     def search(leaf: pa.Table) -> pa.Table:
-        x_all = _matrix(leaf["vec"], size)
+        x_all = unpack(leaf["vec"], size)
         lists = leaf["ids"].to_pylist()
         data = np.array([i for i, v in enumerate(lists) if v is not None], int)
         queries = np.arange(len(lists)) if not _only_new else np.array([i for i, v in enumerate(lists) if v is None], int)
@@ -194,7 +208,7 @@ def most_similar(
         if owed.rows():
             _only_new = True
             need = owed.df.select("leaf").distinct()
-            own = base.df.mapInArrow(lambda bs: (r.filter(pa.array([v is not None for v in r.column("ids").to_pylist()], pa.bool_())) for b in bs for r in routed(b.column("h1"), b.column("h2"), b.column("ids"), _matrix(b.column("vec"), size), np.zeros(b.num_rows), None)), _ROUTED)
+            own = base.df.mapInArrow(lambda bs: (r.filter(pa.array([v is not None for v in r.column("ids").to_pylist()], pa.bool_())) for b in bs for r in routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.zeros(b.num_rows), None)), _ROUTED)
             more = own.join(F.broadcast(need), "leaf", "left_semi").unionByName(owed.df).groupBy("leaf").applyInArrow(search, _FOUND)
             found = materialize(merged(found.df.unionByName(more)), "knn-found")
     joined = firsts.df.select("item", "h1", "h2").join(found.df, ["h1", "h2"])
