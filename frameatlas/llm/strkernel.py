@@ -135,7 +135,7 @@ class Machine:
     Every hashed subsequence is weighed by its rarity among the texts.
     """
 
-    def __init__(self, texts: list[str], landmarks: list[int], block: int = 128):
+    def __init__(self, texts: list[str], landmarks: list[int], block: int = 48):
         raw = sparse(texts)
         rarity = rarities([ids for ids, _ in raw])
         feats = [self._weigh(f, rarity) for f in raw]
