@@ -7,6 +7,7 @@ results don't depend on partitioning.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -17,17 +18,21 @@ from pyspark.sql import functions as F
 from frameatlas.runtime import partitions_for
 
 
-def per_small_group(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows_per_batch: int = 20_000) -> DataFrame:
-    """``fn`` on every group of ``key``, many groups to one Python call.
+def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dict]], schema: str, rows_per_batch: int = 20_000) -> DataFrame:
+    """``fn`` on the records of every group of ``key``, many groups to one Python call.
 
     A call per picture costs more than the rule itself, so keys are hashed into batches
     whose number follows the rows; a batch holds whole groups.
     """
     n = partitions_for(df.count(), rows_per_batch)
+    fields = [f.strip().split()[0] for f in schema.split(",")]
+    kinds = {f.strip().split()[0]: f.strip().split()[1] for f in schema.split(",")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [fn(g) for _, g in pdf.drop(columns="_batch").groupby(key, sort=True)]
-        return pd.concat(parts, ignore_index=True)
+        records = pdf.drop(columns="_batch").sort_values(key, kind="stable").to_dict("records")
+        out = [r for _, g in itertools.groupby(records, key=lambda r: r[key]) for r in fn(list(g))]
+        frame = pd.DataFrame({f: [r[f] for r in out] for f in fields})
+        return frame.astype({f: "Int64" for f, k in kinds.items() if k in ("long", "int")})
 
     return df.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_batch").applyInPandas(run, schema)
 
@@ -48,7 +53,15 @@ def weiszfeld(x: np.ndarray, tol: float = 1e-7, steps: int = 200) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- boxes of one picture
-def iou(a: np.ndarray, b: np.ndarray) -> float:
+def _by_id(r: dict):
+    return r["detection_id"], -1 if pd.isna(r["obj_no"]) else r["obj_no"]
+
+
+def _box(r: dict) -> tuple[float, float, float, float]:
+    return r["left"], r["top"], r["right"], r["bottom"]
+
+
+def iou(a, b) -> float:
     """Boxes are (left, top, right, bottom)."""
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     o = max(0.0, w) * max(0.0, h)
@@ -57,22 +70,22 @@ def iou(a: np.ndarray, b: np.ndarray) -> float:
     return o / u if u > 0 else 0.0
 
 
-def resolve_overlaps(pdf: pd.DataFrame, same_at: float = 0.75, any_at: float = 0.5) -> pd.DataFrame:
+def resolve_overlaps(rows: list[dict], same_at: float = 0.75, any_at: float = 0.5) -> list[dict]:
     """Boxes of a picture without double detections, best first.
 
     Rows come in order of detection id.  A box that overlaps a kept one of its class by
     ``same_at`` is merged into it (geometry becomes the union, payload columns stay); by
     ``any_at`` the one with more confidence stays, ties keep the earlier one.
     """
-    rows = pdf.sort_values(["detection_id", "obj_no"], kind="stable").to_dict("records")
+    rows = sorted(rows, key=_by_id)
     kept: list[dict] = []
     for r in rows:
-        box = np.array([r["left"], r["top"], r["right"], r["bottom"]])
+        box = _box(r)
         r["_box"], add = box, True
         for k in list(kept):
             o = iou(k["_box"], box)
             if k["class_id"] == r["class_id"] and o >= same_at:
-                u = np.r_[np.minimum(k["_box"][:2], box[:2]), np.maximum(k["_box"][2:], box[2:])]
+                u = (*map(min, k["_box"][:2], box[:2]), *map(max, k["_box"][2:], box[2:]))
                 if r["conf"] > k["conf"]:
                     kept.remove(k)
                     r["_box"] = box = u
@@ -87,53 +100,53 @@ def resolve_overlaps(pdf: pd.DataFrame, same_at: float = 0.75, any_at: float = 0
                     break
         if add:
             kept.append(r)
-    out = pd.DataFrame(kept, columns=[*pdf.columns, "_box"])
-    return out.drop(columns="_box")
+    return kept
 
 
-def suppress(pdf: pd.DataFrame, preferred: dict[tuple[int, int], int], at: float = 0.7, bonus: float = 0.2) -> pd.DataFrame:
+def suppress(rows: list[dict], preferred: dict[tuple[int, int], int], at: float = 0.7, bonus: float = 0.2) -> list[dict]:
     """Of two overlapping boxes of a listed class pair one stays: confidence plus a bonus for the preferred class."""
-    rows = pdf.sort_values(["detection_id", "obj_no"], kind="stable").reset_index(drop=True)
-    alive = np.ones(len(rows), bool)
-    boxes = rows[["left", "top", "right", "bottom"]].to_numpy(float)
-    cls, conf = rows["class_id"].to_numpy(), rows["conf"].to_numpy(float)
-    for i in range(len(rows)):
+    rows = sorted(rows, key=_by_id)
+    alive = [True] * len(rows)
+    for i, a in enumerate(rows):
         for j in range(i + 1, len(rows)):
-            best = preferred.get((min(cls[i], cls[j]), max(cls[i], cls[j])))
-            if best is None or not (alive[i] and alive[j]) or iou(boxes[i], boxes[j]) < at:
+            b = rows[j]
+            ca, cb = a["class_id"], b["class_id"]
+            best = preferred.get((min(ca, cb), max(ca, cb)))
+            if best is None or not (alive[i] and alive[j]) or iou(_box(a), _box(b)) < at:
                 continue
-            si, sj = conf[i] + bonus * (cls[i] == best), conf[j] + bonus * (cls[j] == best)
-            lose = j if si > sj or (si == sj and cls[i] == best) else i
-            alive[lose] = False
-    return rows[alive]
+            sa, sb = a["conf"] + bonus * (ca == best), b["conf"] + bonus * (cb == best)
+            alive[j if sa > sb or (sa == sb and ca == best) else i] = False
+    return [r for r, ok in zip(rows, alive) if ok]
 
 
-def merge_adjacent(pdf: pd.DataFrame, gap: float = 20.0, at: float = 0.5) -> pd.DataFrame:
+def merge_adjacent(rows: list[dict], gap: float = 20.0, at: float = 0.5) -> list[dict]:
     """Boxes of a class that touch (within ``gap`` on one axis, overlapping on the other) or overlap become one.
 
     Components of the touching relation are merged whole; confidence is the best one's.
     """
-    rows = pdf.sort_values(["class_id", "detection_id", "obj_no"], kind="stable").reset_index(drop=True)
-    b, cls = rows[["left", "top", "right", "bottom"]].to_numpy(float), rows["class_id"].to_numpy()
+    rows = sorted(rows, key=_by_id)
     root = list(range(len(rows)))
 
-    def find(i):
+    def find(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for i in range(len(rows)):
+    for i, p in enumerate(rows):
         for j in range(i + 1, len(rows)):
-            if cls[i] != cls[j]:
+            q = rows[j]
+            if p["class_id"] != q["class_id"]:
                 continue
-            gx, gy = max(b[i][0], b[j][0]) - min(b[i][2], b[j][2]), max(b[i][1], b[j][1]) - min(b[i][3], b[j][3])
-            if (gx <= gap and gy < 0) or (gy <= gap and gx < 0) or iou(b[i], b[j]) > at:
-                root[find(i)] = find(j)
-    rows["_g"] = [find(i) for i in range(len(rows))]
-    g = rows.groupby("_g")
-    out = g.agg(image_id=("image_id", "first"), class_id=("class_id", "first"), detection_id=("detection_id", "min"), obj_no=("obj_no", "first"), conf=("conf", "max"), left=("left", "min"), top=("top", "min"), right=("right", "max"), bottom=("bottom", "max"), n_merged=("left", "size"))
-    return out.reset_index(drop=True)
+            a, b = _box(p), _box(q)
+            gx, gy = max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+            if (gx <= gap and gy < 0) or (gy <= gap and gx < 0) or iou(a, b) > at:
+                root[find(j)] = find(i)
+    groups: dict[int, list[dict]] = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    low, high = lambda g, c: min(r[c] for r in g), lambda g, c: max(r[c] for r in g)
+    return [g[0] | {"conf": high(g, "conf"), "left": low(g, "left"), "top": low(g, "top"), "right": high(g, "right"), "bottom": high(g, "bottom"), "n_merged": len(g)} for g in groups.values()]
 
 
 # ---------------------------------------------------------------- nine slots
@@ -144,8 +157,8 @@ SLOT_ZONES = {  # fixed values: where an object must lie, in face heights from t
 TOUCH_NEAR, TOUCH_FAR, DUAL_RATIO, TIE_CLASS = 0.5, 1.0, 2.5, 27
 
 
-def assign_slots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per picture with a detection id (or null) for each of nine slots.
+def assign_slots(rows: list[dict]) -> list[dict]:
+    """One record per picture with a detection id (or null) for each of nine slots.
 
     Order: neck ties first (shoulder zone, then the hands), then the best object of each
     hand (touching within 0.5 face heights, else within 1.0; nearer, surer objects first;
@@ -153,8 +166,8 @@ def assign_slots(pdf: pd.DataFrame) -> pd.DataFrame:
     then the remaining zones by confidence.  An object that both hands hold may stand in
     both hand slots; every other object is used once.
     """
-    first = pdf.iloc[0]
-    rows = pdf.dropna(subset=["left"]).sort_values(["conf", "detection_id"], ascending=[False, True], kind="stable").to_dict("records")
+    first = rows[0]
+    rows = sorted((r for r in rows if pd.notna(r["left"])), key=lambda r: (-r["conf"], r["detection_id"]))
     hands = {"left_hand": (first["left_pointer_x"], first["left_pointer_y"]), "right_hand": (first["right_pointer_x"], first["right_pointer_y"])}
     hands = {k: v for k, v in hands.items() if all(pd.notna(x) for x in v) and tuple(v) != (0.0, 8.0)}  # (0, 8) stands for an absent hand
     out: dict[str, int | None] = {s: None for s in ("left_hand", "right_hand", *SLOT_ZONES)}
@@ -203,7 +216,7 @@ def assign_slots(pdf: pd.DataFrame) -> pd.DataFrame:
             r = next((r for r in rows if int(r["detection_id"]) not in used and inside(r, zone)), None)
             if r is not None:
                 put(slot, r)
-    return pd.DataFrame([{"image_id": int(first["image_id"]), **{s: (np.nan if v is None else v) for s, v in out.items()}}]).astype({s: "Int64" for s in out})
+    return [{"image_id": int(first["image_id"]), **out}]
 
 
 # ---------------------------------------------------------------- orderings
