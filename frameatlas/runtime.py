@@ -74,6 +74,13 @@ def _cleanup() -> None:
 atexit.register(_cleanup)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that is removed at exit."""
+    path = f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    _OWNED[path] = spark
+    return path
+
+
 class Written:
     """A materialised table: ``df`` reads it, ``drop()`` frees the space."""
 
@@ -92,9 +99,8 @@ class Written:
 def materialize(df: DataFrame, name: str = "t") -> Written:
     """Write ``df`` once to the shared folder and read it back (a lineage cut)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _OWNED[path] = spark
     return Written(spark, path)
 
 
