@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from frameatlas.runtime import materialize, partitions_for
+
 
 def in_open_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows strictly inside every range (both ends excluded)."""
@@ -74,3 +76,18 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     ls, rs = left.select(key).where(F.col(key).isNotNull()).distinct().withColumn("l", F.lit(1)), right.select(key).where(F.col(key).isNotNull()).distinct().withColumn("r", F.lit(1))
     side = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), "both").when(F.col("l").isNotNull(), "left").otherwise("right")
     return ls.join(rs, key, "full").select(key, side.alias("found_in"))
+
+
+def ordered_positions(df: DataFrame, order: list[str], name: str = "position", rows_per_slice: int = 200_000) -> DataFrame:
+    """Places 1..n in a total order, without gathering the rows in one task.
+
+    Rows are range-partitioned by ``order`` (which must settle ties), numbered inside
+    their slice, and shifted by the counts of the slices before; only those counts, one
+    row per slice, are windowed globally.  The sliced rows are written once, so slices
+    can't shift between the two reads.
+    """
+    n = partitions_for(df.count(), rows_per_slice)
+    sliced = materialize(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()), "ordered").df
+    before = sliced.groupBy("_slice").agg(F.count("*").alias("_n")).select("_slice", (F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_slice")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(W.partitionBy("_slice").orderBy(*order))
+    return sliced.join(F.broadcast(before), "_slice").withColumn(name, local.cast("long") + F.col("_before")).drop("_slice", "_before")

@@ -63,7 +63,6 @@ def outlier_reasons(x: str, med: str, q1: str, q3: str, mad: str, fixed: float,
     )
 
 
-def low_is_good(x: str, window) -> Column:
+def low_is_good(x: str, lo: str, hi: str) -> Column:
     """Min-max scale to 1 (lowest) .. 0 (highest); 1 for all where all are equal."""
-    lo, hi = F.min(x).over(window), F.max(x).over(window)
-    return F.when(hi == lo, F.lit(1.0)).otherwise((hi - F.col(x)) / F.nullif(hi - lo, F.lit(0.0)))
+    return F.when(F.col(hi) == F.col(lo), F.lit(1.0)).otherwise((F.col(hi) - F.col(x)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from frameatlas.operators import matrices as M
 from frameatlas.operators import stats as ST
+from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import KEYWORDS, SLOT_SQL, SLOTS, keywords, slots_long
 from frameatlas.plans.registry import query
 from frameatlas.runtime import table as T
@@ -74,7 +75,7 @@ def dominant_class_per_cluster(spark, d):
 @query("A12 A13 A18 A20", """SELECT i.site_name_id, count(*) AS n, count(*) FILTER (WHERE gender IN ('woman', 'older woman', 'young woman')) AS women, count(*) FILTER (WHERE gender IN ('man', 'older man', 'young man')) AS men,
   count(*) FILTER (WHERE gender IN ('girl', 'boy')) AS children, count(*) FILTER (WHERE gender IS NULL) AS missing FROM images AS i LEFT JOIN genders AS g ON g.gender_id = i.gender_id GROUP BY 1 HAVING count(*) >= 5""")
 def demographic_pivot(spark, d):
-    i = T(spark, d, "images").join(F.broadcast(T(spark, d, "genders")), "gender_id", "left")
+    i = T(spark, d, "images").join(T(spark, d, "genders"), "gender_id", "left")
     g = F.col("gender")
     return i.groupBy("site_name_id").agg(
         F.count("*").alias("n"), F.count_if(g.isin("woman", "older woman", "young woman")).alias("women"), F.count_if(g.isin("man", "older man", "young man")).alias("men"), F.count_if(g.isin("girl", "boy")).alias("children"), F.count_if(g.isNull()).alias("missing"),
@@ -143,7 +144,7 @@ def slot_shares(spark, d):
     w = W.partitionBy("class_id")
     r = n.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rk", F.row_number().over(w.orderBy(F.col("n").desc(), "slot"))).where("rk = 1")
     g = n.groupBy("slot").agg(F.sum("n").alias("g")).withColumn("global_share", F.round(F.col("g") / F.sum("g").over(W.partitionBy(F.lit(1))), 6))
-    return r.join(F.broadcast(g), "slot").select("class_id", F.col("slot").alias("top_slot"), F.round("share", 6).alias("top_share"), "global_share")
+    return r.join(g, "slot").select("class_id", F.col("slot").alias("top_slot"), F.round("share", 6).alias("top_share"), "global_share")
 
 
 @query("A23 R4", f"""WITH {SLOT_SQL}, {PLACED}, r AS (SELECT class_id, band, n_placed / nullif(n_det, 0) AS x FROM pl), q AS (SELECT band, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM r GROUP BY 1),
@@ -154,9 +155,9 @@ def rate_outliers(spark, d):
     r = placement(spark, d).select("class_id", "band", (F.col("n_placed") / F.nullif(F.col("n_det"), F.lit(0))).alias("x"))
     p = lambda q: F.percentile("x", F.lit(q))
     q = r.groupBy("band").agg(p(0.25).alias("q1"), p(0.5).alias("med"), p(0.75).alias("q3"))
-    j = r.join(F.broadcast(q), "band")
+    j = r.join(q, "band")
     m = j.groupBy("band").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
-    return j.join(F.broadcast(m), "band").select("class_id", "band", ST.outlier_reasons("x", "med", "q1", "q3", "mad", 0.9).alias("reasons"))
+    return j.join(m, "band").select("class_id", "band", ST.outlier_reasons("x", "med", "q1", "q3", "mad", 0.9).alias("reasons"))
 
 
 @query("A25 R3", """WITH c AS (SELECT l_suppkey AS candidate, avg(l_quantity) AS dist, avg(l_discount) AS mixed, max(l_extendedprice) AS largest FROM lineitem GROUP BY 1),
@@ -164,9 +165,11 @@ def rate_outliers(spark, d):
   z AS (SELECT candidate, round(0.5 * coalesce(a, 1) + 0.3 * coalesce(b, 1) + 0.2 * coalesce(c, 1), 6) AS score FROM s) SELECT candidate, score, row_number() OVER (ORDER BY score DESC, candidate) AS rank FROM z""")
 def candidate_scorecard(spark, d):
     c = T(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("candidate")).agg(F.avg("l_quantity").alias("dist"), F.avg("l_discount").alias("mixed"), F.max("l_extendedprice").alias("largest"))
-    w = W.partitionBy(F.lit(1))  # one row per candidate
-    score = 0.5 * ST.low_is_good("dist", w) + 0.3 * ST.low_is_good("mixed", w) + 0.2 * ST.low_is_good("largest", w)
-    return c.select("candidate", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "candidate"))).withColumn("rank", F.col("rank").cast("long"))
+    parts = ("dist", "mixed", "largest")
+    ends = c.agg(*[f(x).alias(f"{x}_{n}") for x in parts for f, n in ((F.min, "lo"), (F.max, "hi"))])  # one row
+    score = sum((k * ST.low_is_good(x, f"{x}_lo", f"{x}_hi") for x, k in zip(parts, (0.5, 0.3, 0.2))), F.lit(0.0))
+    s = c.join(F.broadcast(ends)).select("candidate", F.round(score, 6).alias("score"), (-F.round(score, 6)).alias("down"))
+    return ordered_positions(s, ["down", "candidate"], "rank").drop("down")
 
 
 @query("A26 R21", f"WITH {KEYWORDS} SELECT i.site_name_id, kw.keyword, count(*) AS n FROM kw JOIN ingest_items AS i ON i.item_id = kw.item_id GROUP BY 1, 2")

@@ -15,6 +15,7 @@ from frameatlas.operators import grouped as G
 from frameatlas.operators import pairs as P
 from frameatlas.operators import signatures as SG
 from frameatlas.operators.nearest import assign_nearest
+from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import SLOTS, detection_dim, slots_long
 from frameatlas.plans.registry import query
 from frameatlas.plans.scalars import BOXES, boxes
@@ -192,7 +193,7 @@ def slot_assignment(spark, d):
 @query("J14 W9", """WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings)
   SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 5) AS dist FROM e AS a JOIN e AS b ON b.pos BETWEEN a.pos + 1 AND a.pos + 50""")
 def windowed_pair_distance(spark, d):
-    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("vec_id")).alias("pos"))
+    e = ordered_positions(T(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "pos")
     return P.window_pairs(e, "pos", 50, ["vec_id", "embedding"]).select("vec_id_a", "vec_id_b", F.round(C.l2(F.col("embedding_a"), F.col("embedding_b")), 5).alias("dist"))
 
 

@@ -71,7 +71,7 @@ def modulo_slices(spark, d):
 def beyond_high_water_mark(spark, d):
     i = T(spark, d, "images").select("site_name_id", "image_id")
     high = i.join(T(spark, d, "imagestopics").select("image_id"), "image_id", "left_semi").groupBy("site_name_id").agg(F.max("image_id").alias("high"))
-    return i.join(F.broadcast(high), "site_name_id", "left").where(F.col("image_id") > F.coalesce("high", F.lit(0))).select("site_name_id", "image_id")
+    return i.join(high, "site_name_id", "left").where(F.col("image_id") > F.coalesce("high", F.lit(0))).select("site_name_id", "image_id")
 
 
 @query("F11", "SELECT event_type, count(*) AS n_high, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 GROUP BY 1")
@@ -213,7 +213,7 @@ def delete_by_join(spark, d):
 def coalesce_update_join(spark, d):
     i = T(spark, d, "images").select("image_id", "site_name_id", "location_id", "h")
     f = i.groupBy("site_name_id").agg(F.min("location_id").alias("location_id"), F.min("h").alias("h"))
-    return R.fill_nulls_from(i, F.broadcast(f), "site_name_id", ["location_id", "h"]).select("image_id", "location_id", "h")
+    return R.fill_nulls_from(i, f, "site_name_id", ["location_id", "h"]).select("image_id", "location_id", "h")
 
 
 @query("J16 R5", """WITH a AS (SELECT l_suppkey AS k, count(*) AS n, avg(l_discount) AS r FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n, avg(l_discount) AS r FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1)

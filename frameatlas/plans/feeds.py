@@ -70,7 +70,7 @@ def log_parse(spark, d):
 @query("S18", "SELECT i.item_id, m.value AS location_id FROM ingest_items AS i JOIN (SELECT lower(trim(nation_name)) AS key, min(location_id) AS value FROM locations WHERE nation_name IS NOT NULL GROUP BY 1) AS m ON m.key = lower(trim(i.country))")
 def dictionary_lookup(spark, d):
     m = S.dictionary(T(spark, d, "locations"), "nation_name", "location_id")
-    return T(spark, d, "ingest_items").select("item_id", F.lower(F.trim("country")).alias("key")).join(F.broadcast(m), "key").select("item_id", F.col("value").alias("location_id"))
+    return T(spark, d, "ingest_items").select("item_id", F.lower(F.trim("country")).alias("key")).join(m, "key").select("item_id", F.col("value").alias("location_id"))
 
 
 @query("S2 B4", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

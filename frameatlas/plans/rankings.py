@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from frameatlas.functions import columns as C
 from frameatlas.operators import matrices as M
+from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.registry import query
 from frameatlas.runtime import table as T
 
@@ -87,7 +88,7 @@ def knn_order(spark, d):
     e = T(spark, d, "embeddings")
     seed = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
     x = e.join(F.broadcast(seed)).select("vec_id", F.round(C.l2(F.col("embedding"), F.col("q")), 6).alias("dist"))
-    return x.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("dist", "vec_id")).cast("long"))
+    return ordered_positions(x, ["dist", "vec_id"], "place")
 
 
 CELLS = "cells AS (SELECT a.cluster_id AS r, x.meta_cluster_id AS c, count(DISTINCT a.image_id) AS n FROM imagesarmsposes3d AS a JOIN detections AS x ON x.image_id = a.image_id WHERE a.cluster_id IS NOT NULL AND x.meta_cluster_id IS NOT NULL GROUP BY 1, 2)"

@@ -72,7 +72,7 @@ def location_resolution(spark, d):
     p = T(spark, d, "ingest_items").where("country is not null").select("item_id", F.lower(F.trim(F.element_at(F.split("country", ","), -1))).alias("k"))
     loc = T(spark, d, "locations")
     by = lambda c, n: loc.where(f"{c} is not null").groupBy(F.lower(c).alias("k")).agg(F.min("location_id").alias(n))
-    j = p.join(F.broadcast(by("code_alpha2", "a")), "k", "left").join(F.broadcast(by("nation_name", "b")), "k", "left")
+    j = p.join(by("code_alpha2", "a"), "k", "left").join(by("nation_name", "b"), "k", "left")
     return j.select("item_id", F.coalesce(F.when(F.length("k") == 2, F.col("a")), "b").alias("location_id"))
 
 

@@ -107,7 +107,7 @@ def plural_key_lookup(spark, d):
     """Words of descriptions found in the topic dictionary under any of their number or verb forms."""
     vocab = T(spark, d, "topics").where("topic is not null").select(F.explode(F.split("topic", " ")).alias("key")).distinct()
     words = T(spark, d, "images").where("description is not null").select(F.explode(C.tokens(F.col("description"), 4)).alias("word")).distinct()
-    return words.select("word", F.explode(lookup_keys("word")).alias("key")).join(F.broadcast(vocab), "key").groupBy("word").agg(F.min("key").alias("key"))
+    return words.select("word", F.explode(lookup_keys("word")).alias("key")).join(vocab, "key").groupBy("word").agg(F.min("key").alias("key"))
 
 
 @query("X12")
