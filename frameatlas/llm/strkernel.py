@@ -8,7 +8,7 @@ match.  Values are divided by the norms of both texts' occurrence weights.
 ``Machine`` maps texts to their kernel values with the landmarks, whitened by the
 landmarks' own kernel matrix, and trains a squared-hinge SVM there.  As the decision
 is linear in the hashed subsequence space, it folds into one weight table of
-``2**BITS`` floats (1 MB), which is all that executors need.
+``2**BITS`` floats (half a MB), which is all that executors need.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import unicodedata
 
 import numpy as np
 
-BITS, DECAY = 18, 0.6
+BITS, DECAY = 17, 0.6
 SHAPES = ((3, 4), (4, 6), (5, 6))  # (letters, window)
 PAD = 8
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿͏]")
@@ -116,7 +116,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarr
     w = np.zeros(a.shape[1])
     reg = np.ones(a.shape[1])
     reg[-1] = 1e-6
-    for _ in range(30):
+    for _ in range(12):
         slack = 1 - y * (a @ w)
         on = slack > 0
         ao, wo = a[on], weight[on]
@@ -124,7 +124,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarr
         hess = np.diag(reg) + 2 * c * (ao.T * wo) @ ao
         step = np.linalg.solve(hess, grad)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3 * max(1.0, np.abs(w).max()):
             break
     return w
 
@@ -135,7 +135,7 @@ class Machine:
     Every hashed subsequence is weighed by its rarity among the texts.
     """
 
-    def __init__(self, texts: list[str], landmarks: list[int], block: int = 48):
+    def __init__(self, texts: list[str], landmarks: list[int], block: int = 128):
         raw = sparse(texts)
         rarity = rarities([ids for ids, _ in raw])
         feats = [self._weigh(f, rarity) for f in raw]

@@ -10,7 +10,7 @@ documents whose label the other documents contradict are left out.
 
 Training takes at most ``max_sentences`` labelled sentences (by hash order; all of
 them in the given data) and the sentences of ``max_unlabelled`` documents; everything else runs where the documents lie, in one
-pass without a shuffle, with a weight table of 1 MB.
+pass without a shuffle, with a weight table of half a MB.
 
 Defined cases: null and empty texts and texts without a letter get no score (null)
 and are not flagged; with fewer than 5 labelled positives nothing is flagged and
