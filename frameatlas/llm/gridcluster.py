@@ -59,9 +59,16 @@ def postures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Basis:
-    """Principal directions of normalised postures, fitted with missing points at the mean."""
+    """Principal directions of normalised postures.
+
+    Fitted on the rows with all points visible; if they are too few, on all rows with
+    missing points at the mean.
+    """
 
     def __init__(self, pts: np.ndarray, seen: np.ndarray, dims: int = CHECK_DIMS):
+        whole = seen.all(1)
+        if whole.sum() >= max(32, 0.05 * len(seen)):
+            pts, seen = pts[whole], seen[whole]
         w = seen[:, :, None]
         self.mean = pts.sum(0) / np.maximum(w.sum(0), 1)
         y = ((pts - self.mean) * w).reshape(len(pts), -1)

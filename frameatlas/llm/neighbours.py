@@ -213,4 +213,5 @@ def most_similar(
             found = materialize(merged(found.df.unionByName(more)), "knn-found")
     joined = firsts.df.select("item", "h1", "h2").join(found.df, ["h1", "h2"])
     others = F.slice(F.filter("near", lambda p: p["id"] != F.col("item")), 1, k)
-    return joined.select(F.col("item").alias(item), F.explode(others).alias("p")).select(item, F.col("p.id").alias("neighbour_id"), F.col("p.dist").alias("distance"))
+    apart = joined.withColumn("_others", others).select("item", F.explode("_others").alias("p"))
+    return apart.select(F.col("item").alias(item), F.col("p.id").alias("neighbour_id"), F.col("p.dist").alias("distance"))
