@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameatlas.runtime import single_blas_thread
+
 
 def centroids(df: DataFrame, cluster: str, vec: str) -> DataFrame:
     """``cluster, centre``: element-wise means in double."""
@@ -42,6 +44,7 @@ def assign_nearest(df: DataFrame, item: str, vec: str, centres: DataFrame, most_
         shared = spark.sparkContext.broadcast((names.combine_chunks(), mat))
 
         def run(batches, shared=shared):
+            single_blas_thread()
             labels, c = shared.value
             for b in batches:
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, c.shape[1])

@@ -10,9 +10,12 @@ size whether a join side may be broadcast).
 from __future__ import annotations
 
 import atexit
+import ctypes
+import glob
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,3 +110,19 @@ def materialize(df: DataFrame, name: str = "t") -> Written:
 def partitions_for(rows: int, per_partition: int, least: int = 1, most: int = 20_000) -> int:
     """Partition count that follows the data instead of a fixed setting."""
     return max(least, min(most, -(-rows // per_partition)))
+
+
+@lru_cache(maxsize=1)
+def single_blas_thread() -> bool:
+    """Call inside Arrow functions: tasks already use every core, so matrix products must not start threads of their own."""
+    import numpy
+
+    found = False
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(numpy.__file__)), "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                found = True
+                break
+    return found
