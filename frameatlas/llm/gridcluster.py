@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.llm.topn import latest_per_item, top_n
-from frameatlas.runtime import materialize
+from frameatlas.runtime import materialize, single_blas_thread
 
 POINTS, GRID_DIMS, CHECK_DIMS, NEAR_DIMS = 33, 8, 16, 4
 MIN_VISIBLE, GUESS_BELOW = 8, 0.1
@@ -99,6 +99,7 @@ def _features(src: DataFrame, width: float, sample_rows: int) -> DataFrame | Non
     basis = Basis(*postures(picked["vec"].combine_chunks()))
 
     def project(batches):
+        single_blas_thread()
         for b in batches:
             pts, seen = postures(b.column("vec"))
             z = basis.scores(pts, seen).astype(np.float32)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.llm.vptree import Tree, distances, nearest
-from frameatlas.runtime import materialize
+from frameatlas.runtime import materialize, single_blas_thread
 
 _ROUTED = "leaf int, h1 long, h2 long, ids array<long>, vec binary, slack float"
 LAST: dict[str, float] = {}  # what the latest call chose, for reports
@@ -71,6 +71,7 @@ def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarra
     """Exact k nearest others of the probe vectors: one pass, k rows per probe and task."""
 
     def scan(batches):
+        single_blas_thread()
         best: list[list[tuple[float, bytes]]] = [[] for _ in range(len(q))]
         for b in batches:
             x = unpack(b.column("vec"), size)
@@ -125,6 +126,7 @@ def most_similar(
     shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, most_per_shard: int = 250_000,
 ) -> DataFrame:
     """``(item, neighbour_id, distance)``: k rows per item with a usable vector."""
+    single_blas_thread()  # many small products: threads of their own only wait for each other
     spark = df.sparkSession
     src = materialize(packed(df, item, row, vector, size).select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "knn-packed")
     firsts = materialize(src.df.groupBy("item").agg(F.min(F.struct("row", "h1", "h2")).alias("m")).select("item", "m.*"), "knn-items")
@@ -166,16 +168,19 @@ def most_similar(
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), lf, np.int32)), h1.take(at), h2.take(at), lists, vec.take(at), pa.array(slack_rows[keep].astype(np.float32))], names=["leaf", "h1", "h2", "ids", "vec", "slack"])
 
     def first_pass(batches):
+        single_blas_thread()
         for b in batches:
             yield from routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.full(b.num_rows, factor * hint), None)
 
     def second_pass(batches):
+        single_blas_thread()
         for b in batches:
             d = b.column("kth").to_numpy(zero_copy_only=False)
             slack = np.where(np.isfinite(d), factor * d, np.inf)
             yield from routed(b.column("h1"), b.column("h2"), None, b.column("vec"), slack, np.full(b.num_rows, factor * hint))
 
     def search(leaf: pa.Table) -> pa.Table:
+        single_blas_thread()
         x_all = unpack(leaf["vec"], size)
         lists = leaf["ids"].to_pylist()
         data = np.array([i for i, v in enumerate(lists) if v is not None], int)
