@@ -67,7 +67,7 @@ def _grams(s: str) -> set[str]:
 class _Round:
     """One training set: candidates, negatives, landmarks, and cross-fitted scores."""
 
-    def __init__(self, cand: list[str], negs: list[str], marks_neg: list[str], owners: dict[str, int], landmarks: int, folds: int, c: float, rng):
+    def __init__(self, cand: list[str], negs: list[str], marks_neg: list[str], owners: dict[str, int], often: dict[str, int], landmarks: int, folds: int, c: float, rng):
         self.texts, n = [*cand, *negs], len(cand)
         at = {t: i for i, t in enumerate(self.texts)}
         few = landmarks // 2
@@ -75,6 +75,8 @@ class _Round:
         self.machine = strkernel.Machine(self.texts, [int(i) for i in marks])
         fold = np.array([owners[t] % folds for t in self.texts])
         self.cand = np.arange(len(self.texts)) < n
+        # a sentence that many innocent documents hold must not be taken for a case
+        self.load = np.array([1.0 if i < n else min(40.0, often.get(t, 1)) for i, t in enumerate(self.texts)])
         self.y, self.trust, self.held, self.c = np.where(self.cand, 1.0, -1.0), np.ones(len(self.texts)), np.zeros(len(self.texts)), c
         for _ in range(2):
             for f in range(folds):
@@ -88,7 +90,7 @@ class _Round:
         r = np.flatnonzero(use & (self.trust > 0))
         y = self.y[r]
         up = max(1.0, 0.2 * (y < 0).sum() / max(1, (y > 0).sum()))
-        return self.machine.fit(r, y, np.where(y > 0, up, 1.0), self.c)
+        return self.machine.fit(r, y, np.where(y > 0, up, self.load[r]), self.c)
 
     def model(self, bias: float = 0.0):
         return self.machine.table(self.w), self.machine.rarity, float(self.w[-1]) + bias
@@ -117,15 +119,17 @@ def train(rows: pd.DataFrame, unlabelled: list[str] = (), landmarks: int = 500,
     docs = sorted(rows.doc_id.unique())
     number = dict(zip(docs, rng.permutation(len(docs)).tolist()))
     owners = {s: i for i, s in enumerate(sorted(fresh))} | {s: number[d] for s, d in zip(rows.sentence, rows.doc_id)}
+    often = (by["count"] - by["sum"]).to_dict()
+    common = sorted((s for s in others if often.get(s, 0) >= 5), key=lambda s: (-often[s], s))[: negatives // 6]
     plain = [others[i] for i in rng.permutation(len(others))]
     told = sorted(others, key=lambda s: -telling.get(s, 0.0))[: negatives // 4]
-    negs = list(dict.fromkeys([*told, *plain]))[:negatives]
-    first = _Round(cand, negs, [t for t in plain if t in set(negs)], owners, landmarks, folds, c, rng)
+    negs = list(dict.fromkeys([*common, *told, *plain]))[:negatives]
+    first = _Round(cand, negs, [t for t in plain if t in set(negs)], owners, often, landmarks, folds, c, rng)
     hard = [others[i] for i in np.argsort(-strkernel.score(others, *first.model()))[: negatives // 2]]
-    negs = list(dict.fromkeys([*hard, *plain]))[:negatives]
+    negs = list(dict.fromkeys([*common, *hard, *plain]))[:negatives]
     use = set(negs)
     mixed = [t for pair in zip([hard[i] for i in rng.permutation(len(hard))], [t for t in plain if t in use]) for t in pair]
-    last = _Round(cand, negs, list(dict.fromkeys(mixed)), owners, landmarks, folds, c, rng)
+    last = _Round(cand, negs, list(dict.fromkeys(mixed)), owners, often, landmarks, folds, c, rng)
     held = dict(zip(last.texts, last.held))
     best = rows.assign(s=rows.sentence.map(held).fillna(-2.0)).groupby("doc_id").agg(toxic=("toxic", "max"), s=("s", "max"))
     cuts = np.linspace(-0.6, 0.6, 49)
