@@ -200,7 +200,7 @@ def windowed_pair_distance(spark, d):
 _CAND = "SELECT encoding_id, image_id, CAST(face_x AS DOUBLE) AS x, CAST(face_y AS DOUBLE) AS y, CAST(face_z AS DOUBLE) AS z, CAST(mouth_gap AS DOUBLE) AS g, row_number() OVER (PARTITION BY (image_id // 1000) ORDER BY encoding_id) AS pos, image_id // 1000 AS part FROM encodings_migration"
 
 
-@query("C22 C26", f"""WITH e AS ({_CAND}), p AS (SELECT a.encoding_id AS encoding_id_a, b.encoding_id AS encoding_id_b, abs(a.x - b.x) / 15 + abs(a.y - b.y) / 15 + abs(a.z - b.z) / 15 AS head, abs(a.g - b.g) AS mouth, a.image_id = b.image_id AS same FROM e AS a JOIN e AS b ON a.part = b.part AND b.pos BETWEEN a.pos + 1 AND a.pos + 100)
+@query("C26", f"""WITH e AS ({_CAND}), p AS (SELECT a.encoding_id AS encoding_id_a, b.encoding_id AS encoding_id_b, abs(a.x - b.x) / 15 + abs(a.y - b.y) / 15 + abs(a.z - b.z) / 15 AS head, abs(a.g - b.g) AS mouth, a.image_id = b.image_id AS same FROM e AS a JOIN e AS b ON a.part = b.part AND b.pos BETWEEN a.pos + 1 AND a.pos + 100)
   SELECT encoding_id_a, encoding_id_b, CASE WHEN NOT coalesce(head <= 0.4, true) THEN 'head' WHEN NOT coalesce(mouth <= 2, true) THEN 'mouth' WHEN same THEN 'same image' ELSE 'kept' END AS verdict FROM p WHERE head <= 0.8""")
 def dupe_cascade(spark, d):
     c = lambda n: F.col(n).cast("double")
@@ -213,6 +213,21 @@ def dupe_cascade(spark, d):
     return P.cascade(p, [("head", F.col("head") <= 0.4), ("mouth", F.abs(F.col("g_a") - F.col("g_b")) <= 2), ("same image", F.col("image_id_a") != F.col("image_id_b"))]).select("encoding_id_a", "encoding_id_b", "verdict")
 
 
+def encodings_in_order(spark, d):
+    """Encodings with their picture's texts, placed by id over the whole table (no blocks of pictures)."""
+    c = lambda n: F.col(n).cast("double")
+    b = C.box("bbox")
+    e = T(spark, d, "encodings_migration").select("encoding_id", "image_id", F.array(c("face_x"), c("face_y"), c("face_z")).alias("head"), F.array(*[b[s] for s in ("left", "top", "right", "bottom")]).alias("box"), F.col("face_encodings68").alias("face"), F.col("body_landmarks").alias("body"))
+    i = T(spark, d, "images").select("image_id", "description", F.col("site_name_id").alias("site"), F.expr("try_cast(site_image_id AS double)").alias("site_number"))
+    return ordered_positions(e.join(i, "image_id", "left"), ["encoding_id"], "pos")
+
+
+@query("C22")
+def near_duplicate_cascade(spark, d):
+    """Every pair within 100 positions with its terms and the stage that rejects it; no table lists pairs known not to be duplicates."""
+    return P.near_duplicates(encodings_in_order(spark, d), 100).drop("image_id_a", "image_id_b")
+
+
 @query("C23")
 def duplicate_chain(spark, d):
     """Kept rows of every site when each near twin of a kept row is dropped, in id order."""
