@@ -29,6 +29,17 @@ def full_axis(df: DataFrame, row: str, n: int, cols: list[str]) -> DataFrame:
     return axis.join(df, row, "left").select(row, *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
 
 
+def dense_counts(df: DataFrame, row: str, col: str, rows: int, cols: int, prefix: str = "c_") -> DataFrame:
+    """Counts with all rows 0..rows-1 and all columns 0..cols-1, and their total per row; a null row or column is no cell.
+
+    Cells are counted first, so the wide aggregate reads one row per cell.
+    """
+    names = [f"{prefix}{i}" for i in range(cols)]
+    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count("*").alias("_n"))
+    wide = cells.groupBy(row).agg(*[F.sum(F.when(F.col(col) == i, F.col("_n"))).alias(c) for i, c in enumerate(names)])
+    return with_total(full_axis(wide, row, rows, names), names)
+
+
 def selected_cells(cells: DataFrame, least: int) -> DataFrame:
     """Cells above ``least`` with their place in row-major order: rows up, values down, columns up."""
     w = W.partitionBy("r").orderBy(F.col("n").desc(), "c")

@@ -94,7 +94,7 @@ def class_slot_matrix(spark, d):
     return M.with_total(M.wide_counts(slots_long(spark, d).join(det, "detection_id"), "class_id", "slot", SLOTS, ""), SLOTS)
 
 
-@query("A16 A17 A34 R12", "WITH n AS (SELECT meta_cluster_id AS bin, count(*) FILTER (WHERE class_id = 0) AS c_0, count(*) FILTER (WHERE class_id = 27) AS c_27, count(*) FILTER (WHERE class_id = 67) AS c_67 FROM detections WHERE meta_cluster_id IS NOT NULL GROUP BY 1)"
+@query("A17", "WITH n AS (SELECT meta_cluster_id AS bin, count(*) FILTER (WHERE class_id = 0) AS c_0, count(*) FILTER (WHERE class_id = 27) AS c_27, count(*) FILTER (WHERE class_id = 67) AS c_67 FROM detections WHERE meta_cluster_id IS NOT NULL GROUP BY 1)"
   " SELECT r.i AS bin, coalesce(c_0, 0) AS c_0, coalesce(c_27, 0) AS c_27, coalesce(c_67, 0) AS c_67, coalesce(c_0, 0) + coalesce(c_27, 0) + coalesce(c_67, 0) AS total, coalesce(c_27, 0) + coalesce(c_67, 0) AS sum_27_67 FROM (SELECT unnest(range(0, 30)) AS i) AS r LEFT JOIN n ON n.bin = r.i")
 def dense_matrix_full_axes(spark, d):
     x = T(spark, d, "detections").where("meta_cluster_id is not null").select(F.col("meta_cluster_id").cast("long").alias("bin"), "class_id")
@@ -103,6 +103,15 @@ def dense_matrix_full_axes(spark, d):
     return M.with_total(M.with_total(m, cols), ["c_27", "c_67"], "sum_27_67")
 
 
+@query("A16 A17 A34 R12")
+def dense_matrix_all_classes(spark, d):
+    """Meta clusters by classes: both axes run from 0 to the largest id of the data, absent cells are 0, the total holds every class."""
+    x = T(spark, d, "detections")
+    size = lambda c: (F.coalesce(F.max(c), F.lit(0)) + 1).alias(c)
+    n = x.agg(size("meta_cluster_id"), size("class_id")).first()  # one row
+    return M.dense_counts(x.select(F.col("meta_cluster_id").cast("long").alias("bin"), "class_id"), "bin", "class_id", n["meta_cluster_id"], n["class_id"])
+
+
 @query("A34", "SELECT 'images' AS name, coalesce(max(image_id), 0) + 1 AS next_id FROM images UNION ALL SELECT 'topics', coalesce(max(topic_id), 0) + 1 FROM topics")
 def next_ids(spark, d):
     one = lambda t, c: T(spark, d, t).agg(F.lit(t).alias("name"), (F.coalesce(F.max(c), F.lit(0)) + 1).alias("next_id"))

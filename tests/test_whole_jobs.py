@@ -76,3 +76,15 @@ def test_near_duplicate_cascade_has_every_pair_of_the_window(spark, sf):
     n = spark.read.parquet(f"{sf}/encodings_migration.parquet").count()
     assert got.count() == sum(min(100, n - i) for i in range(1, n + 1))
     assert got.select(F.count_if(F.col("verdict") == "kept")).first()[0] > 0
+
+
+def test_dense_matrix_holds_every_class_and_cluster(spark, sf, tmp_path):
+    rows = [(0, 3), (35, 140), (35, 140), (35, 7), (None, 5), (2, 0)]  # a cluster above 29, classes beside 0, 27, 67
+    spark.createDataFrame(rows, "meta_cluster_id int, class_id int").write.parquet(f"{tmp_path}/detections.parquet")
+    got = catalog.QUERIES["dense_matrix_all_classes"](spark, str(tmp_path))
+    assert got.columns == ["bin", *[f"c_{i}" for i in range(141)], "total"]
+    m = {r["bin"]: r.asDict() for r in got.collect()}
+    assert sorted(m) == list(range(36)) and m[35]["c_140"] == 2 and m[35]["c_7"] == 1 and m[35]["total"] == 3 and m[1]["total"] == 0
+    assert sum(r["total"] for r in m.values()) == 5 and all(v is not None for r in m.values() for v in r.values())
+    x = spark.read.parquet(f"{sf}/detections.parquet").where("meta_cluster_id is not null")
+    assert catalog.QUERIES["dense_matrix_all_classes"](spark, sf).agg(F.sum("total")).first()[0] == x.count()
