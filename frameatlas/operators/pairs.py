@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameatlas.runtime import materialize
+
 
 def window_pairs(df: DataFrame, position: str, reach: int, cols: list[str], part: str | None = None) -> DataFrame:
     """Pairs with 0 < position_b - position_a <= reach (inside a part): columns suffixed _a and _b."""
@@ -131,3 +133,25 @@ def near_duplicates(rows: DataFrame, reach: int, not_dupes: DataFrame | None = N
     hit = F.col("_known").isNotNull() & ~F.col("verdict").isin("distance", "same image")
     later = ("face", "body", "hands", "description", "site")
     return j.select(*[F.when(~hit, F.col(c)).alias(c) if c in later else c for c in pairs.columns if c != "verdict"], F.when(hit, "known not dupe").otherwise(F.col("verdict")).alias("verdict"))
+
+
+def keeper_chain(pairs: DataFrame) -> DataFrame:
+    """``id, keeper``: the rows dropped when pairs (a before b, by id) are taken in order: b is a dupe of a unless a is one itself.
+
+    A dupe is never a keeper, so its own partners may stay.  In a round, rows with no open pair before them are
+    kept, their partners are dupes, and all pairs of both are settled; the first row of every connected component
+    is settled at least, so the rounds end.  The keeper is the first kept partner.
+    """
+    edges = materialize(pairs.where("a < b").distinct(), "edges").df
+    first = edges
+    dupes = None
+    while not edges.isEmpty():
+        roots = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
+        now = materialize(edges.join(roots.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dupes").df
+        dupes = now if dupes is None else dupes.unionByName(now)
+        gone = roots.unionByName(now)
+        edges = materialize(edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(now.withColumnRenamed("id", "b"), "b", "left_anti"), "edges").df
+    if dupes is None:
+        return first.select(F.col("a").alias("id"), F.col("b").alias("keeper"))
+    by = first.join(dupes.withColumnRenamed("id", "b"), "b").join(dupes.withColumnRenamed("id", "a"), "a", "left_anti")
+    return by.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("keeper"))

@@ -19,6 +19,7 @@ from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import SLOTS, detection_dim, slots_long
 from frameatlas.plans.registry import query
 from frameatlas.plans.scalars import BOXES, boxes
+from frameatlas.runtime import materialize
 from frameatlas.runtime import table as T
 
 
@@ -230,15 +231,18 @@ def near_duplicate_cascade(spark, d):
 
 @query("C23")
 def duplicate_chain(spark, d):
-    """Kept rows of every site when each near twin of a kept row is dropped, in id order."""
-    i = T(spark, d, "images").where("description is not null").select("site_name_id", "image_id", F.xxhash64("description").alias("h"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image_id", kind="stable")
-        return pdf.assign(is_dupe=pdf.duplicated("h"))[["image_id", "is_dupe"]]
-
-    part = F.pmod(F.col("h"), F.lit(64))  # twins share their hash, so parts are independent and bounded by copies of a text
-    return i.withColumn("part", part).groupBy("site_name_id", "part").applyInPandas(lambda p: run(p), "image_id long, is_dupe boolean")
+    """Every encoding with its keeper, if it is a near duplicate of an earlier kept one.
+
+    A pair confirms when the cascade keeps it and its faces were compared: a missing face never makes two rows equal.
+    Later rows of pairs kept without a face are marked for review and stay.
+    """
+    kept = materialize(P.near_duplicates(encodings_in_order(spark, d), 100).where("verdict = 'kept'").select("encoding_id_a", "encoding_id_b", "face"), "kept").df
+    dupes = P.keeper_chain(kept.where("face is not null").select(F.col("encoding_id_a").alias("a"), F.col("encoding_id_b").alias("b")))
+    look = kept.where("face is null").select(F.col("encoding_id_b").alias("encoding_id")).distinct().withColumn("review", F.lit(True))
+    e = T(spark, d, "encodings_migration").select("encoding_id", "image_id")
+    j = e.join(dupes.select(F.col("id").alias("encoding_id"), "keeper"), "encoding_id", "left").join(look, "encoding_id", "left")
+    is_dupe = F.col("keeper").isNotNull()
+    return j.select("encoding_id", "image_id", is_dupe.alias("is_dupe"), F.col("keeper").alias("keeper_id"), (F.col("review").isNotNull() & ~is_dupe).alias("review"))
 
 
 @query("A30 A29 D3")

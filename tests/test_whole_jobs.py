@@ -88,3 +88,27 @@ def test_dense_matrix_holds_every_class_and_cluster(spark, sf, tmp_path):
     assert sum(r["total"] for r in m.values()) == 5 and all(v is not None for r in m.values() for v in r.values())
     x = spark.read.parquet(f"{sf}/detections.parquet").where("meta_cluster_id is not null")
     assert catalog.QUERIES["dense_matrix_all_classes"](spark, sf).agg(F.sum("total")).first()[0] == x.count()
+
+
+def test_keeper_chain_equals_the_ordered_loop(spark):
+    g = np.random.default_rng(5)
+    pairs = sorted({tuple(sorted(map(int, g.choice(60, 2, replace=False)))) for _ in range(70)} | {(100, 101), (101, 102), (102, 103)})
+    want: dict[int, int] = {}
+    for a, b in pairs:
+        if a not in want:
+            want.setdefault(b, a)
+    got = {r.id: r.keeper for r in P.keeper_chain(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want and got[101] == 100 and 102 not in got and got[103] == 102
+    assert P.keeper_chain(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_duplicate_chain_finds_near_twins(spark, tmp_path):
+    g = np.random.default_rng(1)
+    face = [float(x) for x in g.normal(0, 0.2, 128)]
+    step = lambda k: [x + 0.03 * k for x in face]  # noqa: E731  faces k and k + 1 are 0.34 apart, k and k + 2 0.68
+    rows = [(1, 10, 1.0, None, step(0), None), (2, 20, 1.2, None, step(1), None), (3, 30, 1.4, None, step(2), None), (4, 40, 1.1, None, None, None), (5, 1050, 1.0, None, step(0), None)]
+    df = spark.createDataFrame(rows, "encoding_id long, image_id long, face_x double, bbox string, face_encodings68 array<double>, body_landmarks array<double>")
+    df.withColumns({"face_y": F.lit(0.5), "face_z": F.lit(0.5)}).write.parquet(f"{tmp_path}/encodings_migration.parquet")
+    spark.createDataFrame([(r[1], f"text {r[0]}", 1, str(r[0])) for r in rows], "image_id long, description string, site_name_id int, site_image_id string").write.parquet(f"{tmp_path}/images.parquet")
+    got = {r.encoding_id: (r.is_dupe, r.keeper_id, r.review) for r in catalog.QUERIES["duplicate_chain"](spark, str(tmp_path)).collect()}
+    assert got == {1: (False, None, False), 2: (True, 1, False), 3: (False, None, False), 4: (False, None, True), 5: (True, 1, False)}
