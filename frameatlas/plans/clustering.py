@@ -116,7 +116,7 @@ def signature_collapse(spark, d):
     return SG.collapse(rows, "id", "p", 30).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("C18 C28", _HYD + f""", t AS (SELECT id, {_TOK} AS token FROM h), n AS (SELECT token, count(*) AS n FROM t GROUP BY 1), m AS (SELECT token, CASE WHEN n >= 20 THEN token ELSE string_split(token, '|')[1] END AS target FROM n)
+@query("", _HYD + f""", t AS (SELECT id, {_TOK} AS token FROM h), n AS (SELECT token, count(*) AS n FROM t GROUP BY 1), m AS (SELECT token, CASE WHEN n >= 20 THEN token ELSE string_split(token, '|')[1] END AS target FROM n)
   SELECT m.target, count(*) AS n FROM t JOIN m ON m.token = t.token GROUP BY 1""")
 def collapse_map_apply(spark, d):
     """A map from rare signatures to their first slot's, applied to all rows by one join."""
@@ -125,6 +125,28 @@ def collapse_map_apply(spark, d):
     return t.join(m, "token").groupBy("target").agg(F.count("*").alias("n"))
 
 
+def topic_signatures(spark, d):
+    """``topic, item, p``: signature parts of every picture in each of its topics; 0 and null are no topic."""
+    t = T(spark, d, "imagestopics").where("topic_id is not null and topic_id <> 0").select(F.col("topic_id").alias("topic"), "image_id").distinct()
+    i = T(spark, d, "imagesdetections").select("id", "image_id")
+    return hydrated(spark, d).select("id", SG.parts().alias("p")).join(i, "id").select("image_id", "p").distinct().join(t, "image_id").select("topic", F.col("image_id").alias("item"), "p")
+
+
+@query("C18")
+def topic_collapse_map(spark, d):
+    """Signatures below 20 pictures of a topic lose their rarest parts until one with that support is met, else they are discarded."""
+    return SG.topic_collapse_map(topic_signatures(spark, d), "topic", "item", "p", 20).withColumnRenamed("topic", "topic_id")
+
+
+@query("C28")
+def topic_collapse_apply(spark, d):
+    """Pictures per topic and signature once the map is applied."""
+    rows = materialize(topic_signatures(spark, d), "signatures").df
+    mapped = materialize(SG.topic_collapse_map(rows, "topic", "item", "p", 20), "map").df
+    out = SG.apply_collapse(rows.select("topic", "item", SG.token(F.col("p")).alias("token")), mapped)
+    return out.groupBy(F.col("topic").alias("topic_id"), "target").agg(F.count_distinct("item").alias("n"))
+
+
 @query("C12", f"""WITH {BOXES}, z AS (SELECT detection_id, obj_no, ((l - 600) / 120 + (r - 600) / 120) / 2 AS cx, ((t - 300) / 120 + (m - 300) / 120) / 2 AS cy FROM bb)
   SELECT detection_id, obj_no, cx BETWEEN -1 AND 1 AND cy BETWEEN -1.5 AND -0.35 AS top_face, cx BETWEEN -0.5 AND 0.5 AND cy BETWEEN 0.05 AND 0.75 AS mouth, cx BETWEEN -2 AND 2 AND cy BETWEEN 0.75 AND 1.6 AS shoulder, cx BETWEEN -3 AND 3 AND cy BETWEEN 3.6 AND 9 AS feet FROM z""")
 def zone_predicates(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameatlas import catalog
 from frameatlas.operators import pairs as P
+from frameatlas.operators import signatures as SG
 
 
 def _people(n=30, seed=3):
@@ -112,3 +113,48 @@ def test_duplicate_chain_finds_near_twins(spark, tmp_path):
     spark.createDataFrame([(r[1], f"text {r[0]}", 1, str(r[0])) for r in rows], "image_id long, description string, site_name_id int, site_image_id string").write.parquet(f"{tmp_path}/images.parquet")
     got = {r.encoding_id: (r.is_dupe, r.keeper_id, r.review) for r in catalog.QUERIES["duplicate_chain"](spark, str(tmp_path)).collect()}
     assert got == {1: (False, None, False), 2: (True, 1, False), 3: (False, None, False), 4: (False, None, True), 5: (True, 1, False)}
+
+
+def _collapse_by_hand(rows, support):
+    """Per topic the cascade of the reference over (topic, item, parts)."""
+    out = {}
+    for topic in {r[0] for r in rows}:
+        n, weight = {}, {}
+        for _, _, p in {(t, i, tuple(p)) for t, i, p in rows if t == topic}:
+            n[p] = n.get(p, 0) + 1
+            for x in p:
+                weight[x] = weight.get(x, 0) + 1
+        for p in n:
+            if n[p] >= support:
+                out[topic, "|".join(p)] = ("retained", "|".join(p))
+                continue
+            now, to = list(p), None
+            for x in sorted(p, key=lambda x: (weight[x], x)):
+                now.remove(x)
+                if now and n.get(tuple(now), 0) >= support:
+                    to = "|".join(now)
+                    break
+            out[topic, "|".join(p)] = ("remapped", to) if to else ("discarded", None)
+    return out
+
+
+def test_topic_collapse_drops_the_rarest_part_step_by_step(spark):
+    rows = [(1, i, ["LH:1", "RH:2"]) for i in range(3)] + [(1, 10, ["LH:1", "RH:2", "MO:9"]), (1, 11, ["LH:7"]), (1, 11, ["LH:7"])] + [(2, i, ["LH:1", "RH:2"]) for i in range(2)] + [(2, 20, ["LH:1", "RH:2", "MO:9"])]
+    df = spark.createDataFrame(rows, "topic int, item int, p array<string>")
+    m = SG.topic_collapse_map(df, "topic", "item", "p", 3)
+    got = {(r.topic, r.token): (r.state, r.target) for r in m.collect()}
+    assert got[1, "LH:1|RH:2|MO:9"] == ("remapped", "LH:1|RH:2")  # one part is dropped, not two
+    assert got[1, "LH:7"] == ("discarded", None) and got[2, "LH:1|RH:2"] == ("discarded", None) == got[2, "LH:1|RH:2|MO:9"]  # no support in this topic
+    out = SG.apply_collapse(df.select("topic", "item", SG.token(F.col("p")).alias("token")), m)
+    assert {(r.topic, r.target): r.n for r in out.groupBy("topic", "target").agg(F.count_distinct("item").alias("n")).collect()} == {(1, "LH:1|RH:2"): 4}
+    g = np.random.default_rng(2)
+    rows = [(int(t), i, [f"{s}:{c}" for s, c in zip(("LH", "RH", "TF", "MO"), g.integers(0, 3, 4)) if c]) for i in range(400) for t in g.integers(1, 4, 1)]
+    got = {(r.topic, r.token): (r.state, r.target) for r in SG.topic_collapse_map(spark.createDataFrame(rows, "topic int, item int, p array<string>"), "topic", "item", "p", 5).collect()}
+    assert got == _collapse_by_hand(rows, 5) and {s for s, _ in got.values()} == {"retained", "remapped", "discarded"}
+
+
+def test_topic_collapse_queries_leave_no_target_below_the_support(spark, sf):
+    m = catalog.QUERIES["topic_collapse_map"](spark, sf)
+    assert m.groupBy("topic_id", "token").count().where("count > 1").count() == 0
+    n = {(r.topic_id, r.target): r.n for r in catalog.QUERIES["topic_collapse_apply"](spark, sf).collect()}
+    assert set(n) == {(r.topic_id, r.target) for r in m.where("target is not null").collect()} and min(n.values(), default=20) >= 20
