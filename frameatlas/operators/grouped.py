@@ -149,6 +149,31 @@ def merge_adjacent(rows: list[dict], gap: float = 20.0, at: float = 0.5) -> list
     return [g[0] | {"conf": high(g, "conf"), "left": low(g, "left"), "top": low(g, "top"), "right": high(g, "right"), "bottom": high(g, "bottom"), "n_merged": len(g)} for g in groups.values()]
 
 
+NEW_CLASS_PRIORITY = {132: 700, 133: 650, 137: 600, 123: 500, 127: 450, 136: 400, 93: 350, 135: 100}  # fixed values: larger numbers win, other classes have 0
+
+
+def refine_new(rows: list[dict], at: float = 0.5) -> list[dict]:
+    """Of the new boxes of a picture that overlap each other, directly or over others, one stays.
+
+    Components of the relation 'overlap of at least ``at``' are taken over all classes; the winner has the highest
+    class priority, ties go to the earlier row, then to the lower class.  ``n_members`` is the size of its component.
+    """
+    rows = sorted(rows, key=lambda r: (*_by_id(r), r["class_id"], _box(r)))
+    out, seen = [], set()
+    for start in range(len(rows)):
+        if start in seen:
+            continue
+        seen.add(start)
+        group = [start]
+        for i in group:
+            near = [j for j in range(len(rows)) if j not in seen and iou(_box(rows[i]), _box(rows[j])) >= at]
+            seen.update(near)
+            group += near
+        win = min(group, key=lambda i: (-NEW_CLASS_PRIORITY.get(rows[i]["class_id"], 0), i))
+        out.append(rows[win] | {"n_members": len(group)})
+    return out
+
+
 # ---------------------------------------------------------------- nine slots
 SLOT_ZONES = {  # fixed values: where an object must lie, in face heights from the nose
     "top_face": (-1.0, -1.5, 1.0, -0.35), "left_eye": (-0.6, -0.35, 0.0, 0.05), "right_eye": (0.0, -0.35, 0.6, 0.05), "mouth": (-0.5, 0.05, 0.5, 0.75),

@@ -192,7 +192,7 @@ def adjacent_merge(spark, d):
     return G.per_small_group(_flat(spark, d).where("class_id <> 0"), "image_id", G.merge_adjacent, _FLAT + ", n_merged long").select("image_id", "class_id", "detection_id", "n_merged")
 
 
-@query("C20 C21", f"""WITH {BOXES}, u AS (SELECT DISTINCT * FROM bb), o AS (SELECT * FROM u WHERE class_id = 0), p AS (SELECT * FROM u WHERE class_id <> 0)
+@query("C21", f"""WITH {BOXES}, u AS (SELECT DISTINCT * FROM bb), o AS (SELECT * FROM u WHERE class_id = 0), p AS (SELECT * FROM u WHERE class_id <> 0)
   SELECT p.class_id, count(*) AS n_kept FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image_id = p.image_id AND greatest(0, least(o.r, p.r) - greatest(o.l, p.l)) * greatest(0, least(o.m, p.m) - greatest(o.t, p.t)) >= 0.5 * nullif(greatest(0, o.r - o.l) * greatest(0, o.m - o.t) + greatest(0, p.r - p.l) * greatest(0, p.m - p.t) - greatest(0, least(o.r, p.r) - greatest(o.l, p.l)) * greatest(0, least(o.m, p.m) - greatest(o.t, p.t)), 0)) GROUP BY 1""")
 def prediction_merge(spark, d):
     """New boxes that don't repeat a protected one: an anti-join with an overlap residual."""
@@ -202,6 +202,18 @@ def prediction_merge(spark, d):
     return p.join(o, same, "left_anti").groupBy("class_id").agg(F.count("*").alias("n_kept"))
 
 
+@query("C20")
+def label_refinement(spark, d):
+    """New boxes that repeat no existing one (class 0), then one winner by priority of each component of overlapping new boxes."""
+    x = boxes(spark, d).distinct()
+    o, p = x.where("class_id = 0").alias("o"), x.where("class_id <> 0").alias("p")
+    same = (F.col("o.image_id") == F.col("p.image_id")) & (C.iou(F.col("o.b"), F.col("p.b")) >= 0.5)
+    b = F.col("b")
+    new = p.join(o, same, "left_anti").select("image_id", "detection_id", "obj_no", "class_id", "conf", *[b[s].alias(s) for s in ("left", "top", "right", "bottom")])
+    new = materialize(new, "new_boxes").df  # counted and grouped: the boxes are parsed and joined once
+    return G.per_small_group(new, "image_id", G.refine_new, _FLAT + ", n_members long").select("image_id", "detection_id", "obj_no", "class_id", "n_members")
+
+
 @query("C11")
 def slot_assignment(spark, d):
     """Detections of every picture assigned to nine slots by position rules."""

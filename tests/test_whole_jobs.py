@@ -158,3 +158,15 @@ def test_topic_collapse_queries_leave_no_target_below_the_support(spark, sf):
     assert m.groupBy("topic_id", "token").count().where("count > 1").count() == 0
     n = {(r.topic_id, r.target): r.n for r in catalog.QUERIES["topic_collapse_apply"](spark, sf).collect()}
     assert set(n) == {(r.topic_id, r.target) for r in m.where("target is not null").collect()} and min(n.values(), default=20) >= 20
+
+
+def test_label_refinement_keeps_one_winner_of_a_component(spark, sf, tmp_path):
+    box = lambda left, top=0: f'{{"left": {left}, "top": {top}, "right": {left + 100}, "bottom": {top + 100}}}'
+    rows = [(1, 1, 0, box(0)), (2, 1, 5, box(10)), (3, 1, 5, box(300)), (4, 1, 132, box(330)), (5, 1, 133, box(360)), (6, 1, 8, box(700)), (7, 1, 9, box(705)), (8, 2, 8, box(300))]
+    df = spark.createDataFrame(rows, "detection_id long, image_id long, class_id int, bbox string").withColumns({"obj_no": F.lit(1), "conf": F.lit(0.5)})
+    df.unionByName(df).write.parquet(f"{tmp_path}/detections.parquet")  # copies of rows count once
+    got = {(r.image_id, r.detection_id): r.n_members for r in catalog.QUERIES["label_refinement"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 4): 3, (1, 6): 2, (2, 8): 1}  # 3 and 5 meet over 4, which has the highest priority; 2 repeats 1
+    out = catalog.QUERIES["label_refinement"](spark, sf)
+    merged = catalog.QUERIES["prediction_merge"](spark, sf)
+    assert out.agg(F.sum("n_members")).first()[0] == merged.agg(F.sum("n_kept")).first()[0] and out.where("n_members > 1").count() > 0
