@@ -26,6 +26,12 @@ def window_pairs(df: DataFrame, position: str, reach: int, cols: list[str], part
     return a.join(b, [*keys, "_bk"]).where(F.col("pos_b").between(F.col("pos_a") + 1, F.col("pos_a") + reach)).drop("_bk")
 
 
+def early_window_pairs(df: DataFrame, position: str, reach: int, early_reach: int, early: int, cols: list[str]) -> DataFrame:
+    """As ``window_pairs``, but with ``early_reach`` from rows at the first ``early`` positions (1..early)."""
+    later = window_pairs(df, position, reach, cols).where(F.col("pos_a") > early)
+    return window_pairs(df.where(F.col(position) <= early + early_reach), position, early_reach, cols).where(F.col("pos_a") <= early).unionByName(later)
+
+
 def cascade(pairs: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """Pairs with the first stage that rejects them, or 'kept': cheap conditions come first.
 

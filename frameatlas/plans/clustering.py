@@ -225,13 +225,20 @@ def slot_assignment(spark, d):
     return G.per_small_group(x.join(ptr, "image_id"), "image_id", G.assign_slots, f"image_id long, {cols}")
 
 
-@query("J14 W9", """WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings)
+@query("W9", """WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings)
   SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 5) AS dist FROM e AS a JOIN e AS b ON b.pos BETWEEN a.pos + 1 AND a.pos + 50""")
 def windowed_pair_distance(spark, d):
     e = ordered_positions(T(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "pos")
     return P.window_pairs(e, "pos", 50, ["vec_id", "embedding"]).select("vec_id_a", "vec_id_b", F.round(C.l2(F.col("embedding_a"), F.col("embedding_b")), 5).alias("dist"))
 
 
+@query("J14")
+def windowed_pair_distance_early(spark, d):
+    """Pairs up to 100 positions after the first 1,000 rows, up to 50 after later ones."""
+    e = ordered_positions(T(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "pos")
+    return P.early_window_pairs(e, "pos", 50, 100, 1000, ["vec_id", "embedding"]).select("vec_id_a", "vec_id_b", F.round(C.l2(F.col("embedding_a"), F.col("embedding_b")), 5).alias("dist"))
+
+
 _CAND = "SELECT encoding_id, image_id, CAST(face_x AS DOUBLE) AS x, CAST(face_y AS DOUBLE) AS y, CAST(face_z AS DOUBLE) AS z, CAST(mouth_gap AS DOUBLE) AS g, row_number() OVER (PARTITION BY (image_id // 1000) ORDER BY encoding_id) AS pos, image_id // 1000 AS part FROM encodings_migration"
 
 

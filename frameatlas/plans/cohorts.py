@@ -280,8 +280,15 @@ def cache_hydrate_union(spark, d):
     return R.merge_insert_absent(cache, best("imagesbodyposes3d").withColumn("origin", F.lit("computed")), ["image_id"])
 
 
-@query("B8 C29", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) AS x WHERE r = 1")
+@query("B8", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) AS x WHERE r = 1")
 def upsert_last_wins(spark, d):
     e = T(spark, d, "events").select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("seq"))
     old, new = e.where("event_type in ('view', 'click')"), e.where("event_type not in ('view', 'click') or event_type is null")
     return R.upsert(R.upsert(old, new, ["user_id"], "seq"), new, ["user_id"], "seq").drop("seq")
+
+
+@query("C29")
+def registry_first_wins(spark, d):
+    """A write-once registry: the first value of a key stays, whatever is computed for it later; replays change nothing."""
+    e = T(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts").where("user_id is not null")
+    return R.first_wins(e, "user_id", [F.col("ts"), F.col("event_id")]).drop("ts")

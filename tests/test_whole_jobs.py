@@ -170,3 +170,19 @@ def test_label_refinement_keeps_one_winner_of_a_component(spark, sf, tmp_path):
     out = catalog.QUERIES["label_refinement"](spark, sf)
     merged = catalog.QUERIES["prediction_merge"](spark, sf)
     assert out.agg(F.sum("n_members")).first()[0] == merged.agg(F.sum("n_kept")).first()[0] and out.where("n_members > 1").count() > 0
+
+
+def test_early_rows_reach_twice_as_far(spark, sf):
+    df = spark.range(1, 61).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("v"))
+    got = [(r.pos_a, r.pos_b) for r in P.early_window_pairs(df, "pos", 5, 10, 20, ["v"]).collect()]
+    want = {(a, b) for a, b in itertools.combinations(range(1, 61), 2) if b - a <= (10 if a <= 20 else 5)}
+    assert set(got) == want and len(got) == len(want)
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert catalog.QUERIES["windowed_pair_distance_early"](spark, sf).count() == sum(min(100 if i <= 1000 else 50, n - i) for i in range(1, n + 1))
+
+
+def test_registry_keeps_the_first_value(spark, tmp_path):
+    rows = [(1, 5, "a", 0.5, 30), (1, 4, "b", 0.7, 10), (1, 3, "c", 0.9, 10), (2, 9, "a", 1.0, 1), (None, 8, "a", 1.0, 1)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.event_id, r.value) for r in catalog.QUERIES["registry_first_wins"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 0.9), (2, 9, 1.0)}
