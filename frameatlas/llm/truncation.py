@@ -174,7 +174,7 @@ def field_limits(df: DataFrame, site: str, field: str) -> dict[str, int]:
 
 
 def _tokens(t) -> frozenset:
-    return frozenset(w.lower() for w in _WORD.findall(t[:400])) if isinstance(t, str) else frozenset()
+    return frozenset(w.lower() for w in _WORD.findall(t)) if isinstance(t, str) else frozenset()
 
 
 def _share(counts: np.ndarray, logits: np.ndarray) -> float:

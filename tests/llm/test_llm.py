@@ -269,3 +269,7 @@ def test_toxicity_held_out(spark):
     assert not out[out.doc_id >= 900].flagged.any() and out[out.doc_id.isin([900, 901, 902])].score.isna().all()
     none = toxicity.train(*toxicity.training_sentences(d, lab.limit(0), 100, 10))
     assert none is None and toxicity.score_documents(d, none, ["doc_id"]).where("flagged").count() == 0
+
+
+def test_companion_words_are_read_to_the_end():
+    assert "lighthouse" in truncation._tokens("a long caption " * 60 + "with a lighthouse") and truncation._tokens(None) == frozenset()
