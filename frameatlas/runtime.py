@@ -18,6 +18,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWNED: dict[str, SparkSession] = {}
 
@@ -112,6 +113,18 @@ def partitions_for(rows: int, per_partition: int, least: int = 1, most: int = 20
     return max(least, min(most, -(-rows // per_partition)))
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:
+    """About ``rows`` rows: all whose hash of ``key`` lies below a threshold sized from the row count.
+
+    The filter runs where the rows lie, so a task sends only its share of the sample.
+    """
+    n = df.count() if total is None else total
+    steps = 1 << 40
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(77), F.col(key)), F.lit(steps)) < F.lit(int(steps * (rows / n))))
+
+
 @lru_cache(maxsize=1)
 def single_blas_thread() -> bool:
     """Call inside Arrow functions: tasks already use every core, so matrix products must not start threads of their own."""
