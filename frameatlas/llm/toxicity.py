@@ -3,32 +3,34 @@
 A subsequence-kernel SVM with Nyström landmarks scores every sentence of every
 document (whole texts, windows of long sentences); a document's score is its worst
 sentence's.  Labels are given for documents, some of them wrongly, so training works
-on sentences: those of documents labelled 0 are negative, those of documents
-labelled 1 are candidates.  In a few rounds of cross-fitted scores, a labelled
-document keeps only the candidates that models trained without it find worst, and
-documents whose label the other documents contradict are left out.
-
-Training takes at most ``max_sentences`` labelled sentences (by hash order; all of
-them in the given data) and the sentences of ``max_unlabelled`` documents; everything else runs where the documents lie, in one
-pass without a shuffle, with a weight table of half a MB.
-
-Defined cases: null and empty texts and texts without a letter get no score (null)
-and are not flagged; with fewer than 5 labelled positives nothing is flagged and
-scores are null; repeated documents get equal scores; a document labelled twice
-counts by its highest label.
+on sentences: those of documents labelled 0 are negative; of a document labelled 1 the
+sentences that the kernel finds worst, judged by models trained without the document,
+are positive.  No word list takes part: the start is the log odds of the kernel's own
+hashed subsequences, and every later choice is the machine's.
+
+Training takes about ``max_labelled`` labelled documents (whole documents, by hash;
+all of them in the given data).  Everything else runs where the documents lie, in one
+pass without a shuffle, with a weight table of a MB; a task scores a sentence once,
+however many of its documents hold it.
+
+Defined cases: null and empty texts and texts without a letter, digit or star get no
+score (null) and are not flagged; without a document labelled 1 and one labelled 0
+nothing is flagged and scores are null; repeated documents get equal scores; a
+document labelled twice counts by its highest label.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameatlas.llm import strkernel
-from frameatlas.runtime import table
+from frameatlas.runtime import hash_sample, single_blas_thread, table
 
-TELLING = 0.6  # share of its documents labelled 1 from which a word, word pair or sentence is telling
+KEPT = 200_000  # scored sentences that a task remembers
 
 
 def _cut(batches):
@@ -37,151 +39,187 @@ def _cut(batches):
         yield pd.DataFrame(rows, columns=["doc_id", "toxic", "sentence"])
 
 
-def training_sentences(docs: DataFrame, labels: DataFrame, max_sentences: int, max_unlabelled: int) -> tuple[pd.DataFrame, list[str]]:
-    """``doc_id, toxic, sentence`` of labelled documents and sentences of others, both bounded by hash order."""
+def training_sentences(docs: DataFrame, labels: DataFrame, max_labelled: int) -> pd.DataFrame:
+    """``doc_id, toxic, sentence`` of labelled documents, bounded by whole documents."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = hash_sample(own, "doc_id", max_labelled)
     texts = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    cut = lambda d: d.mapInPandas(_cut, "doc_id long, toxic int, sentence string")
-    rows = cut(texts.join(own, "doc_id").select("doc_id", "toxic", "text")).orderBy(F.xxhash64("sentence"), "doc_id").limit(max_sentences)
-    some = texts.join(own, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
-    extra = cut(some.select("doc_id", F.lit(0).alias("toxic"), "text")).select("sentence").distinct().orderBy(F.xxhash64("sentence")).limit(max_sentences)
-    return rows.toPandas(), extra.toPandas().sentence.tolist()
-
-
-def _purity(ones, both):
-    return (ones + 0.3) / (both + 1.0)
-
-
-def _telling(rows: pd.DataFrame) -> dict[str, float]:
-    """Of the documents that hold a word or word pair, the share labelled 1 (smoothed towards 0.3)."""
-    pairs = [(d, t, g) for d, t, s in zip(rows.doc_id, rows.toxic, rows.sentence) for g in _grams(s)]
-    by = pd.DataFrame(pairs, columns=["doc_id", "toxic", "gram"]).drop_duplicates().groupby("gram").toxic.agg(["sum", "count"])
-    return _purity(by["sum"], by["count"]).to_dict()
-
-
-def _grams(s: str) -> set[str]:
-    w = s.split()
-    return {*w, *map(" ".join, zip(w, w[1:]))}
-
-
-class _Round:
-    """One training set: candidates, negatives, landmarks, and cross-fitted scores."""
-
-    def __init__(self, cand: list[str], negs: list[str], marks_neg: list[str], owners: dict[str, int], often: dict[str, int], landmarks: int, folds: int, c: float, rng):
-        self.texts, n = [*cand, *negs], len(cand)
-        at = {t: i for i, t in enumerate(self.texts)}
-        few = landmarks // 2
-        marks = [*rng.permutation(n)[:few], *[at[t] for t in marks_neg][: landmarks - min(few, n)]]
-        self.machine = strkernel.Machine(self.texts, [int(i) for i in marks])
-        fold = np.array([owners[t] % folds for t in self.texts])
-        self.cand = np.arange(len(self.texts)) < n
-        # a sentence that many innocent documents hold must not be taken for a case
-        self.load = np.array([1.0 if i < n else min(40.0, often.get(t, 1)) for i, t in enumerate(self.texts)])
-        self.y, self.trust, self.held, self.c = np.where(self.cand, 1.0, -1.0), np.ones(len(self.texts)), np.zeros(len(self.texts)), c
-        for _ in range(2):
-            for f in range(folds):
-                own = fold == f
-                self.held[own] = self.machine.values(self._solve(~own), np.flatnonzero(own))
-            # a label that all other documents contradict does not train
-            self.trust = np.where(self.cand, self.held > -0.8, self.held < 0.8).astype(float)
-        self.w = self._solve(np.ones(len(self.texts), bool))
-
-    def _solve(self, use: np.ndarray) -> np.ndarray:
-        r = np.flatnonzero(use & (self.trust > 0))
-        y = self.y[r]
-        up = max(1.0, 0.2 * (y < 0).sum() / max(1, (y > 0).sum()))
-        return self.machine.fit(r, y, np.where(y > 0, up, self.load[r]), self.c)
-
-    def model(self, bias: float = 0.0):
-        return self.machine.table(self.w), self.machine.rarity, float(self.w[-1]) + bias
-
-
-def train(rows: pd.DataFrame, unlabelled: list[str] = (), landmarks: int = 500, negatives: int = 6_000, folds: int = 5, c: float = 6.0, seed: int = 3):
-    """``(weights, rarity, bias)`` or None for too few labels.
-
-    Sentences of unlabelled documents without a telling word widen the negatives.
-    Trained twice: the second time with the negatives the first model finds hardest
-    among all sentences of documents labelled 0.
+    return texts.join(own, "doc_id").select("doc_id", "toxic", "text").mapInPandas(_cut, "doc_id long, toxic int, sentence string").toPandas()
+
+
+def _log_odds(texts: list[str], plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight table of the log odds of hashed subsequences, and their rarity."""
+    size = 1 << strkernel.BITS
+    p, n = np.full(size, 1e-2), np.full(size, 1e-2)
+    feats = strkernel.sparse(texts)
+    for (ids, w), a, b in zip(feats, plus, minus):
+        if a:
+            np.add.at(p, ids, a * w)
+        if b:
+            np.add.at(n, ids, b * w)
+    rarity = strkernel.rarities([ids for ids, _ in feats])
+    return (np.log(p / p.sum()) - np.log(n / n.sum())) * rarity, rarity
+
+
+class _Bags:
+    """Labelled documents as bags of distinct sentences; a pair is one sentence of one document."""
+
+    def __init__(self, rows: pd.DataFrame, folds: int, rng):
+        rows = rows.drop_duplicates(["doc_id", "sentence"])
+        self.texts, self.s = np.unique(rows.sentence.to_numpy(object), return_inverse=True)
+        docs, self.b = np.unique(rows.doc_id.to_numpy(), return_inverse=True)
+        self.label = np.zeros(len(docs), int)
+        np.maximum.at(self.label, self.b, rows.toxic.to_numpy(int))
+        self.on = self.label[self.b] == 1
+        self.fold = rng.integers(0, folds, len(docs))[self.b]
+        self.n1, self.n0 = self.count(self.on), self.count(~self.on)
+        # labels are wrong at times, but a sentence of which a third of the labels say 0 is no candidate
+        self.open = 2 * self.n0 <= self.n1
+        self.cand = self.on & self.open[self.s]
+
+    def count(self, pairs: np.ndarray) -> np.ndarray:
+        return np.bincount(self.s[pairs], minlength=len(self.texts))
+
+    def best(self, score: np.ndarray, n: int, above: float, least: float) -> np.ndarray:
+        """Candidate pairs (a mask): per document the ``n`` best and all above a bound, if over ``least``."""
+        at = np.flatnonzero(self.cand)
+        at = at[np.lexsort((self.s[at], -score[at], self.b[at]))]
+        b = self.b[at]
+        first = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
+        rank = np.arange(len(b)) - np.maximum.accumulate(np.where(first, np.arange(len(b)), 0))
+        out = np.zeros(len(self.s), bool)
+        out[at[((rank < n) | (score[at] > above)) & (score[at] > least)]] = True
+        return out
+
+    def worst(self, score: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.label), -np.inf)
+        np.maximum.at(out, self.b, score)
+        return out
+
+
+def train(rows: pd.DataFrame, landmarks: int = 300, negatives: int = 4_000, folds: int = 4, c: float = 6.0, rounds: int = 3, share: float = 0.025, seed: int = 3):
+    """``(weights, rarity, bias)``, or None without documents of both labels.
+
+    Labelled documents are richer in cases than others; ``share`` is the share of cases
+    among all documents that the decision threshold is set for.
     """
-    n1, n0 = (rows.loc[rows.toxic == t, "doc_id"].nunique() for t in (1, 0))
-    if n1 < 5 or n0 < 5:
+    if rows.empty or rows.toxic.nunique() < 2:
         return None
+    single_blas_thread()
     rng = np.random.default_rng(seed)
-    share = _telling(rows)
-    telling = {s: max((share.get(g, 0.0) for g in _grams(s)), default=0.0) for s in rows.sentence.unique()}
-    by = rows.drop_duplicates(["doc_id", "sentence"]).groupby("sentence").toxic.agg(["sum", "count"])
-    cand = sorted(s for s, o in _purity(by["sum"], by["count"]).items() if o >= TELLING and telling[s] >= TELLING)
-    others = set(rows.loc[rows.toxic == 0, "sentence"])
-    fresh = {s for s in unlabelled if s not in telling and max((share.get(g, 0.0) for g in _grams(s)), default=0.0) < TELLING}
-    others = sorted((others | fresh) - set(cand))
-    if not cand or not others:
+    bags = _Bags(rows, folds, rng)
+    texts, n0, s = bags.texts, bags.n0, bags.s
+    if not bags.open.any() or not (n0 > 0).any():
         return None
-    docs = sorted(rows.doc_id.unique())
-    number = dict(zip(docs, rng.permutation(len(docs)).tolist()))
-    owners = {s: i for i, s in enumerate(sorted(fresh))} | {s: number[d] for s, d in zip(rows.sentence, rows.doc_id)}
-    often = (by["count"] - by["sum"]).to_dict()
-    common = sorted((s for s in others if often.get(s, 0) >= 5), key=lambda s: (-often[s], s))[: negatives // 6]
-    plain = [others[i] for i in rng.permutation(len(others))]
-    told = sorted(others, key=lambda s: -telling.get(s, 0.0))[: negatives // 4]
-    negs = list(dict.fromkeys([*common, *told, *plain]))[:negatives]
-    first = _Round(cand, negs, [t for t in plain if t in set(negs)], owners, often, landmarks, folds, c, rng)
-    hard = [others[i] for i in np.argsort(-strkernel.score(others, *first.model()))[: negatives // 2]]
-    negs = list(dict.fromkeys([*common, *hard, *plain]))[:negatives]
-    use = set(negs)
-    mixed = [t for pair in zip([hard[i] for i in rng.permutation(len(hard))], [t for t in plain if t in use]) for t in pair]
-    last = _Round(cand, negs, list(dict.fromkeys(mixed)), owners, often, landmarks, folds, c, rng)
-    held = dict(zip(last.texts, last.held))
-    best = rows.assign(s=rows.sentence.map(held).fillna(-2.0)).groupby("doc_id").agg(toxic=("toxic", "max"), s=("s", "max"))
-    cuts = np.linspace(-0.6, 0.6, 49)
-    tp = np.array([((best.s > t) & (best.toxic == 1)).sum() for t in cuts])
-    said = np.array([(best.s > t).sum() for t in cuts])
-    f1 = 2 * tp / np.maximum(1, said + n1)
-    return last.model(-float(np.mean(cuts[f1 >= f1.max() - 0.004])))
+    # start: log odds of subsequences, each half of the sentences judged by the other
+    per_bag = np.bincount(bags.b[bags.cand], minlength=len(bags.label))
+    plus = np.bincount(s[bags.cand], 1.0 / per_bag[bags.b[bags.cand]], len(texts))
+    start = np.zeros(len(texts))
+    for half in (0, 1):
+        use = np.arange(len(texts)) % 2 != half
+        start[~use] = strkernel.score(list(texts[~use]), *_log_odds(list(texts[use]), plus[use], n0[use]), 0.0)
+    # a pool of likely positives and of common, hard and any negatives
+    likely = np.unique(s[bags.best(start[s], 3, np.inf, -np.inf)])
+    innocent = np.flatnonzero(~bags.open & (n0 > 0))
+    by_count, by_start = innocent[np.lexsort((innocent, -n0[innocent]))], innocent[np.lexsort((innocent, -start[innocent]))]
+    pool = list(dict.fromkeys([*likely, *by_count[: negatives // 4], *by_start[: negatives // 4], *rng.permutation(innocent)]))[: len(likely) + negatives]
+    few = min(len(likely), landmarks // 2)
+    order = np.argsort(-start[likely], kind="stable")
+    marks = [*rng.permutation(order[: max(few, len(likely) // 2)])[:few], *(len(likely) + rng.permutation(len(pool) - len(likely)))[: landmarks - few]]
+    machine = strkernel.Machine([texts[i] for i in pool], [int(i) for i in marks])
+    # what is thought of every pair by a machine that didn't see its document
+    held = start[s]
+    for r in range(rounds):
+        witness = bags.best(held, 1, np.inf, -np.inf) if r == 0 else bags.best(held, 1, 0.0, -0.9)  # below, the label is taken for wrong
+        # an innocent document's sentence that the other documents contradict doesn't train
+        minus_pairs = ~bags.on & ~bags.open[s] & ((held < 0.9) | (r == 0))
+        at = np.array(pool)
+        inside = np.full(len(texts), -1)
+        inside[at] = np.arange(len(at))
+
+        def fit(pairs: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+            plus, minus = bags.count(witness & pairs)[at], bags.count(minus_pairs & pairs)[at]
+            use = (plus > 0) | (minus > 0)
+            up = max(1.0, 0.2 * (minus > 0).sum() / max(1, (plus > 0).sum()))
+            load = np.where(plus > 0, up * np.minimum(5, plus), np.minimum(40, minus))
+            return machine.fit(np.flatnonzero(use), np.where(plus[use] > 0, 1.0, -1.0), load[use], c, first)
+
+        w = fit(np.ones(len(s), bool), None)
+        table = machine.table(w)
+        score = strkernel.score(list(texts), table, machine.rarity, float(w[-1]))
+        held = score[s]
+        for f in range(folds):
+            own = np.flatnonzero((bags.fold == f) & (inside[s] >= 0))
+            held[own] = machine.values(fit(bags.fold != f, w), inside[s[own]])
+        # what the machine takes for a case outside the pool joins it: hard negatives and better witnesses
+        out = inside < 0
+        hard = np.flatnonzero(out & (n0 > 0) & ~bags.open & (score > -0.6))
+        better = np.flatnonzero(out & bags.open & (score > -0.3))
+        new = [*hard[np.argsort(-score[hard], kind="stable")][: negatives // 4], *better]
+        if r + 1 < rounds and new:
+            machine.add([texts[i] for i in new])
+            pool.extend(new)
+    worst, label = bags.worst(held), bags.label
+    cuts = np.linspace(-0.2, 0.6, 33)
+    tp = np.array([((worst > t) & (label == 1)).sum() for t in cuts])
+    heavy = max(1.0, (label == 1).sum() * (1 - share) / share / max(1, (label == 0).sum()))
+    wrong = heavy * np.array([((worst > t) & (label == 0)).sum() for t in cuts])
+    f1 = 2 * tp / np.maximum(1, tp + wrong + (label == 1).sum())
+    return table, machine.rarity, float(w[-1]) - float(np.mean(cuts[f1 >= f1.max() - 0.004]))
+
+
+class _Scorer:
+    """Scores of raw sentences, remembered within a task."""
+
+    def __init__(self, model):
+        self.weights, self.rarity, self.bias = model
+        self.known: dict[str, float] = {}
+
+    def documents(self, texts) -> np.ndarray:
+        """Worst sentence of every text; nan where nothing can be scored."""
+        cut = [strkernel.raw_sentences(t) if t else [] for t in texts]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = list({s for c in cut for s in c if s not in self.known})
+        parts = [strkernel.windows(s) for s in strkernel.normal_all(new)]
+        sizes = np.array([len(p) for p in parts])
+        flat = [w for p in parts for w in p]
+        worst = np.full(len(new), np.nan)
+        if flat:
+            values = strkernel.score(flat, self.weights, self.rarity, self.bias)
+            some = sizes > 0
+            worst[some] = np.maximum.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+        self.known.update(zip(new, worst.tolist()))
+        out = np.full(len(cut), np.nan)
+        for i, c in enumerate(cut):
+            v = [x for x in map(self.known.__getitem__, c) if x == x]
+            if v:
+                out[i] = max(v)
+        return out
 
 
 def score_documents(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``score`` (null without text) and ``flagged``; one pass, no shuffle."""
-    base = docs.select(*keep, "text")
+    base = docs.select(*keep, F.col("text").alias("_text"))
     if model is None:
         return base.select(*keep, F.lit(None).cast("double").alias("score"), F.lit(False).alias("flagged"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text") + ", score double, flagged boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "_text") + ", score double, flagged boolean"
 
     def run(batches):
-        weights, rarity, bias = shared.value
+        scorer = _Scorer(shared.value)
         for b in batches:
-            worst = np.full(len(b), np.nan)
-            flat: list[str] = []
-            owner: list[int] = []
-            size = 0
-
-            def flush():
-                if flat:
-                    np.fmax.at(worst, np.array(owner), strkernel.score(flat, weights, rarity, bias))
-                flat.clear()
-                owner.clear()
-
-            for i, t in enumerate(b["text"]):
-                if t:
-                    s = strkernel.sentences(t)
-                    flat.extend(s)
-                    owner.extend([i] * len(s))
-                    size += sum(map(len, s))
-                    if size > 200_000:
-                        flush()
-                        size = 0
-            flush()
-            out = b[keep].copy()
-            out["score"] = pd.Series(worst, index=b.index).astype(object).where(~np.isnan(worst), None)
-            out["flagged"] = np.nan_to_num(worst, nan=-1.0) > 0
-            yield out
-
-    return base.mapInPandas(run, schema)
-
-
-def scored(spark, sf_dir: str, max_sentences: int = 60_000, max_unlabelled: int = 2_000) -> DataFrame:
+            worst = scorer.documents(b.column("_text").to_pylist())
+            missing = np.isnan(worst)
+            flagged = np.where(missing, False, worst > 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(worst, mask=missing), pa.array(flagged)], names=[*keep, "score", "flagged"])
+
+    return base.mapInArrow(run, schema)
+
+
+def scored(spark, sf_dir: str, max_labelled: int = 20_000) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(*training_sentences(docs, table(spark, sf_dir, "doc_labels"), max_sentences, max_unlabelled))
+    model = train(training_sentences(docs, table(spark, sf_dir, "doc_labels"), max_labelled))
     return score_documents(docs, model, ["doc_id", "source"])
 
 
