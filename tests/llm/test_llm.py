@@ -292,5 +292,34 @@ def test_toxicity_held_out(spark):
     assert none is None and toxicity.score_documents(d, none, ["doc_id"]).where("flagged").count() == 0
 
 
+def _one(text, key=None, companion=None, limit=np.nan):
+    return truncation.features([text], ["1"], np.array([limit]), [key], [companion], 0, np.zeros(truncation.SLOTS, np.int8))[0]
+
+
 def test_companion_words_are_read_to_the_end():
-    assert "lighthouse" in truncation._tokens("a long caption " * 60 + "with a lighthouse") and truncation._tokens(None) == frozenset()
+    url, far = "https://x.example/7/a-lighthouse", "a long caption " * 60
+    assert (_one(url, "7", far + "with a lighthouse") != _one(url, "7", far + "with a house")).sum() == 1
+    assert (_one(url, "7", None) == _one(url, "7", far)).all() and (_one(url)[-4:] == truncation.NONE).all()
+
+
+def test_words_and_their_texts():
+    h, of = truncation.words_of(["Ab cd", "", "ab,\u00e9\u4f60 12", "?!"])
+    assert of.tolist() == [0, 0, 2, 2, 2] and h[0] == h[2] and len(set(h.tolist())) == 4
+    assert len(truncation.words_of([])[0]) == 0 and len(truncation.words_of(["", "..."])[0]) == 0
+
+
+def test_valley_between_titles_and_texts():
+    short, long = np.arange(5, 20), np.arange(50, 120)
+    assert 20 <= truncation.valley(np.r_[short, long], np.r_[np.full(15, 30), np.full(70, 20)]) <= 50
+    assert truncation.valley(long, np.full(70, 20)) == 0 and truncation.valley(np.zeros(0), np.zeros(0)) == 0
+
+
+def test_limit_in_bytes_and_few_values(spark):
+    rows = [(i, 1, ("ä" * (20 + i % 9) + "word " * 40)[:120].encode()[: 90 if i % 2 else 50 + i % 40].decode("utf-8", "ignore")) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, site int, t string")
+    vals = truncation.values(df, "id", "site", {"t": None}, "t")
+    got = truncation.field_limits(truncation.length_counts(vals)).collect()
+    assert [(r["unit"], r["limit"]) for r in got] == [("b", 90)]
+    few = truncation.cut_values(spark.createDataFrame([(1, 1, "x"), (2, None, ""), (3, 1, None)], "id long, site int, t string"), "id", "site", {"t": None}, "t").collect()
+    assert [(r["item"], r["truncated"]) for r in few] == [(1, False)]
+    assert truncation.cut_values(df.limit(0), "id", "site", {"t": None}, "t").count() == 0
