@@ -7,11 +7,16 @@
    come from a sample of at most ``sample_rows`` rows; every row is projected.
 2. The first ``GRID_DIMS`` scores are quantised; cells are counted (map-side
    combined, so a cell with a third of all rows costs one row per task).
-3. Occupied cells that touch (every coordinate differs by at most one) and whose
-   mean postures are closer than ``link`` are joined; neighbours are found by an
-   equality join on the first coordinates, never by comparing all cells.
-4. Minimum labels spread over the joined cells, with pointer jumping, until
-   nothing changes; every round is written to the shared folder.
+3. Cells of at least ``dense`` members are dense.  Dense cells that touch (every
+   coordinate differs by at most one) and whose mean postures are closer than
+   ``link`` are joined; a sparse cell joins the dense ones it touches as their border
+   and carries no label on.  Neighbours are found by an equality join on the first
+   coordinates, in which only dense cells are copied to their surroundings; a key
+   that many cells share is split by adaptive skew handling.
+4. Minimum labels spread over the joined dense cells, with pointer jumping, until
+   nothing changes; every round is written to the shared folder.  Rows whose cells
+   stay sparse and alone are quantised once more on a grid moved by half a cell, so
+   that a small group cut up by cell borders is found there.
 5. An exact check keeps members within ``link`` of their group's mean posture; groups
    need ``least`` members.  A group is described by its size, by the members of
    its densest cell nearest to the mean, and by the name most members carry.
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.llm.topn import latest_per_item, top_n
-from frameatlas.runtime import materialize, single_blas_thread
+from frameatlas.runtime import hash_sample, materialize, single_blas_thread
 
 POINTS, GRID_DIMS, CHECK_DIMS, NEAR_DIMS = 33, 8, 16, 4
 MIN_VISIBLE, GUESS_BELOW = 8, 0.1
@@ -91,9 +96,9 @@ def _usable(v: str):
     return F.size(c).isin(POINTS * 4, POINTS * 3) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists(c, lambda x: x != 0)
 
 
-def _features(src: DataFrame, width: float, sample_rows: int) -> DataFrame | None:
-    """``item, cell array<int>, z array<float>``: one row per item."""
-    picked = src.select(F.xxhash64("row").alias("h"), "vec").orderBy("h").limit(sample_rows).toArrow()
+def _features(src: DataFrame, rows: int, sample_rows: int) -> DataFrame | None:
+    """``item, z array<float>``: one row per item; ``rows`` is the size of the table, usable or not."""
+    picked = hash_sample(src, "row", sample_rows, rows).select("row", "vec").toArrow().sort_by("row")
     if not picked.num_rows:
         return None
     basis = Basis(*postures(picked["vec"].combine_chunks()))
@@ -104,12 +109,11 @@ def _features(src: DataFrame, width: float, sample_rows: int) -> DataFrame | Non
             pts, seen = postures(b.column("vec"))
             z = basis.scores(pts, seen).astype(np.float32)
             ok = pa.array(seen.sum(1) >= MIN_VISIBLE)
-            cell = np.floor(z[:, :GRID_DIMS] / width).astype(np.int32)
             arr = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("row"), arr(cell), arr(z)], names=["item", "row", "cell", "z"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("row"), arr(z)], names=["item", "row", "z"]).filter(ok)
 
-    rows = src.mapInArrow(project, "item long, row long, cell array<int>, z array<float>")
-    return rows.groupBy("item").agg(F.min(F.struct("row", "cell", "z")).alias("m")).select("item", "m.cell", "m.z")
+    projected = src.mapInArrow(project, "item long, row long, z array<float>")
+    return projected.groupBy("item").agg(F.min(F.struct("row", "z")).alias("m")).select("item", "m.z")
 
 
 def _gap(a, b):
@@ -121,20 +125,22 @@ def _mean(z: str = "z"):
     return F.array(*[F.avg(F.col(z)[i]) for i in range(CHECK_DIMS)])
 
 
-def cell_labels(cells: DataFrame, link: float) -> DataFrame:
-    """``cell, label`` for cells (cell, n, mean): labels of touching, similar cells."""
+def cell_labels(cells: DataFrame, link: float, dense: int) -> DataFrame:
+    """``id, label`` of dense cells and of the sparse ones at their border, for cells (id, cell, n, mean)."""
     steps = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    near = cells.select("id", "cell", "mean")
+    thick = F.col("n") >= dense
+    near = cells.where(thick).select("id", "cell", "mean")
     for i in range(NEAR_DIMS):
         near = near.withColumn(f"s{i}", F.explode(steps))
     key = F.struct(*[(F.col("cell")[i] + F.col(f"s{i}")).alias(f"k{i}") for i in range(NEAR_DIMS)])
     left = near.select(F.col("id").alias("a"), F.col("cell").alias("ca"), F.col("mean").alias("ma"), key.alias("k"))
-    right = cells.select(F.col("id").alias("b"), F.col("cell").alias("cb"), F.col("mean").alias("mb"), F.struct(*[F.col("cell")[i].alias(f"k{i}") for i in range(NEAR_DIMS)]).alias("k"))
+    right = cells.select(F.col("id").alias("b"), F.col("cell").alias("cb"), F.col("mean").alias("mb"), thick.alias("dense_b"), F.struct(*[F.col("cell")[i].alias(f"k{i}") for i in range(NEAR_DIMS)]).alias("k"))
     touch = F.forall(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), lambda d: d <= 1)
-    edges = materialize(left.join(right, "k").where((F.col("a") != F.col("b")) & touch).where(_gap(F.col("ma"), F.col("mb")) <= link).select("a", "b"), "grid-edges")
-    state = materialize(cells.select("id", F.col("id").alias("label")), "grid-labels")
+    touching = materialize(left.join(right, "k").where((F.col("a") != F.col("b")) & touch).where(_gap(F.col("ma"), F.col("mb")) <= link).select("a", "b", "dense_b"), "grid-edges")
+    edges = touching.df.where("dense_b").select("a", "b")
+    state = materialize(cells.where(thick).select("id", F.col("id").alias("label")), "grid-labels")
     while True:
-        around = edges.df.join(state.df.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("l2"))
+        around = edges.join(state.df.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("l2"))
         spread = state.df.join(around, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "l2").alias("label"))
         jump = state.df.select(F.col("id").alias("label"), F.col("label").alias("root"))
         nxt = materialize(spread.join(jump, "label", "left").select("id", "old", F.least("label", "root").alias("label")), "grid-labels")
@@ -142,27 +148,41 @@ def cell_labels(cells: DataFrame, link: float) -> DataFrame:
         state.drop()
         state = nxt
         if not changed:
-            edges.drop()
-            return state.df.select("id", "label")
+            break
+    border = touching.df.where("not dense_b").join(state.df.select(F.col("id").alias("a"), "label"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
+    labels = materialize(state.df.select("id", "label").unionByName(border), "grid-labels")
+    touching.drop()
+    state.drop()
+    return labels.df
 
 
-def density_groups(df: DataFrame, item: str, row: str, vector: str, least: int = 5, width: float = 0.6, link: float = 0.2, sample_rows: int = 4_096) -> DataFrame | None:
+def density_groups(df: DataFrame, item: str, row: str, vector: str, least: int = 5, width: float = 0.6, link: float = 0.2, dense: int = 2, sample_rows: int = 4_096) -> DataFrame | None:
     """``item, group, cell_n, gap``: members of groups with at least ``least`` items; None for no usable row."""
     src = df.select(F.col(item).cast("long").alias("item"), F.col(row).cast("long").alias("row"), F.col(vector).alias("vec")).where(F.col("item").isNotNull() & _usable("vec"))
-    feats = _features(src, width, sample_rows)
+    feats = _features(src, df.count(), sample_rows)
     if feats is None:
         return None
-    rows = materialize(feats.withColumn("id", F.xxhash64("cell")), "grid-rows")
-    cells = materialize(rows.df.groupBy("id").agg(F.first("cell").alias("cell"), F.count("*").alias("n"), _mean().alias("mean")), "grid-cells")
-    labels = cell_labels(cells.df, link)
-    known = cells.df.join(labels, "id")
-    # the mean of a group from its cells' means and counts
-    group_mean = known.groupBy("label").agg(F.sum("n").alias("size"), F.array(*[F.sum(F.col("mean")[i] * F.col("n")) / F.sum("n") for i in range(CHECK_DIMS)]).alias("gm")).where(F.col("size") >= least)
-    cell_info = known.join(group_mean, "label").select("id", "label", F.col("n").alias("cell_n"), "gm")
-    member = rows.df.join(cell_info, "id").select("item", F.col("label").alias("group"), "cell_n", _gap(F.col("z"), F.col("gm")).alias("gap"))
-    member = materialize(member.where(F.col("gap") <= link), "grid-members")
-    enough = member.df.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return member.df.join(enough, "group")
+    rows, found = materialize(feats, "grid-rows"), []
+    for offset in (0.0, 0.5):
+        cell = F.transform(F.slice("z", 1, GRID_DIMS), lambda x: F.floor(x / width + offset).cast("int"))
+        placed = rows.df.withColumn("cell", cell).withColumn("id", F.xxhash64(F.lit(offset), "cell"))
+        cells = materialize(placed.groupBy("id").agg(F.first("cell").alias("cell"), F.count("*").alias("n"), _mean().alias("mean")), "grid-cells")
+        labels = cell_labels(cells.df, link, dense)
+        known = cells.df.join(labels, "id")
+        # the mean of a group from its cells' means and counts
+        group_mean = known.groupBy("label").agg(F.sum("n").alias("size"), F.array(*[F.sum(F.col("mean")[i] * F.col("n")) / F.sum("n") for i in range(CHECK_DIMS)]).alias("gm")).where(F.col("size") >= least)
+        cell_info = known.join(group_mean, "label").select("id", "label", F.col("n").alias("cell_n"), "gm")
+        member = placed.join(cell_info, "id").select("item", F.col("label").alias("group"), "cell_n", _gap(F.col("z"), F.col("gm")).alias("gap"))
+        found.append(materialize(member.where(F.col("gap") <= link), "grid-members").df)
+        if not offset:
+            alone = materialize(placed.join(labels, "id", "left_anti").select("item", "z"), "grid-rows")
+            rows.drop()
+            rows = alone
+        cells.drop()
+    rows.drop()
+    member = found[0].unionByName(found[1])
+    enough = member.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return member.join(enough, "group")
 
 
 def name_groups(members: DataFrame, names: DataFrame, name_item: str, name: str, at: str) -> DataFrame:
