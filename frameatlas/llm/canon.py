@@ -3,25 +3,28 @@
 Every reference entry has *variants* (its names, other word orders, codes).  A
 typed value has *forms* (the whole, the part before a bracket, the last part after
 a comma or slash).  Both are normalised: lower case, accents removed, only letters
-and digits kept.  Exact equality of a form and a variant wins; the rest goes
-through a partition-based pigeonhole join: a variant is cut into K + 1 segments,
-and a string within K edits must contain one of them unchanged, shifted by at most
-K.  Segments are joined by equality with positional substrings of the typed values,
-the surviving pairs are verified with ``levenshtein``, and values left over by the
-final anti-join are reported with reference -1.
-
-Two slips are forgiven in long words, one in words of five to seven letters, none
-below.  A transposition costs two edits but is one slip, so slips are
-``bag + (edits - bag) / 2`` where ``bag`` is the letter-multiset difference (a lower
-bound of the edits that transpositions don't touch).
-
-Scale: only distinct typed strings enter the join, each with about 60 short keys,
+and digits kept.  All pairs come from one partition-based pigeonhole join: a variant
+is cut into k + 1 segments, and a string within k edits must contain one of them
+unchanged, shifted by at most k.  Segments are joined by equality with positional
+substrings of the typed values, the surviving pairs are verified with
+``levenshtein``, and values left over by the final anti-join are reported with
+reference -1.
+
+Two slips are forgiven in words of eight letters or more, one in words of five to
+seven, none below and none in codes.  A transposition costs two edits but is one slip,
+so slips are ``bag + (edits - bag) / 2`` where ``bag`` is the letter-multiset
+difference (a lower bound of the edits that transpositions don't touch).  Slips that
+are transpositions only leave the letters the same, so one more segment, the sorted
+letters, finds them; what remains has at most k = 3, 1 and 0 edits.  Segments
+therefore have two letters at least.
+
+Scale: only distinct typed strings enter the join, each with a few dozen short keys,
 so a value typed by a third of all rows is one string; the reference list is
 joined by key, never crossed.  Ties go to fewer slips, fewer edits, smaller id.
 
 Defined cases: null and blank values are not output; values equal byte for byte
 to a listed entry are not output; an empty reference list maps every value to -1;
-very long texts have as many substrings as letters and match nothing.
+very long texts have as many substrings as letters and match nothing but themselves.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from frameatlas.llm.canon_words import GENDER_VARIANTS
-from frameatlas.runtime import materialize, table
+from frameatlas.runtime import materialize, partitions_for, table
 
-K = 4
+MOST = 4  # edits of two slips
 ACCENTED = "áàâäãåéèêëíìîïóòôöõøúùûüýñçšžğı"
 PLAIN = "aaaaaaeeeeiiiioooooouuuuyncszgi"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -88,18 +91,19 @@ BAG_DUCK = (
     "greatest(list_sum(list_transform(string_split('" + LETTERS + "', ''), lambda c: greatest(0, length(replace(b, c, '')) - length(b) - length(replace(a, c, '')) + length(a)))), "
     "list_sum(list_transform(string_split('" + LETTERS + "', ''), lambda c: greatest(0, length(replace(a, c, '')) - length(a) - length(replace(b, c, '')) + length(b)))))"
 )
-# slips allowed by the length of the variant
-ALLOWED = "CASE WHEN length(b) >= 8 THEN 2 WHEN length(b) >= 5 THEN 1 ELSE -1 END"
+# slips allowed by the length of the variant, and edits that aren't transpositions only
+ALLOWED = "CASE WHEN NOT fuzzy THEN 0 WHEN length(b) >= 8 THEN 2 WHEN length(b) >= 5 THEN 1 ELSE 0 END"
+EDITS = "CASE WHEN NOT fuzzy THEN 0 WHEN length(variant) >= 8 THEN 3 WHEN length(variant) >= 5 THEN 1 ELSE 0 END"
+SORTED = "array_join(array_sort(split({}, '')), '')"
 
 
-def _match_tail(bag: str, pairs: str) -> str:
-    """From candidate pairs (field_name, value, rank, a, b, ref_id) to the best reference per value."""
+def _match_tail(lev: str, bag: str, pairs: str) -> str:
+    """From candidate pairs (field_name, value, rank, a, b, ref_id, fuzzy) to the best reference per value."""
     return f"""
-scored AS (SELECT field_name, value, rank, ref_id, lev, {bag} AS bag, {ALLOWED} AS allowed FROM (SELECT *, levenshtein(a, b) AS lev FROM {pairs}) AS p WHERE lev <= {K}),
-near AS (SELECT field_name, value, ref_id, 1 AS pass, bag + (lev - bag) / 2.0 AS slips, lev, rank FROM scored WHERE bag + (lev - bag) / 2.0 <= allowed),
+near AS (SELECT field_name, value, ref_id, rank, lev, bag + (lev - bag) / 2.0 AS slips, allowed
+   FROM (SELECT *, {bag} AS bag, {ALLOWED} AS allowed FROM (SELECT *, {lev} AS lev FROM {pairs}) AS p WHERE lev BETWEEN 0 AND {MOST}) AS q),
 best AS (SELECT field_name, value, ref_id FROM (
-   SELECT *, row_number() OVER (PARTITION BY field_name, value ORDER BY pass, slips, lev, rank, ref_id) AS rn
-   FROM (SELECT * FROM exact UNION ALL SELECT * FROM near) AS u) AS r WHERE rn = 1)"""
+   SELECT *, row_number() OVER (PARTITION BY field_name, value ORDER BY CASE WHEN lev = 0 THEN 0 ELSE 1 END, slips, lev, rank, ref_id) AS rn FROM near WHERE slips <= allowed) AS r WHERE rn = 1)"""
 
 
 def _typed(d: dict) -> str:
@@ -108,41 +112,46 @@ def _typed(d: dict) -> str:
       UNION ALL SELECT DISTINCT 'gender', gender FROM ingest_items WHERE gender IS NOT NULL AND {ne('gender')} AND gender NOT IN (SELECT gender FROM genders WHERE gender IS NOT NULL)"""
 
 
-def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def map_values(spark: SparkSession, sf_dir: str, values_per_task: int = 1_000) -> DataFrame:
     """``(field_name, value, ref_id)`` for every distinct typed value that isn't a listed entry; -1 = none."""
     src = {t: table(spark, sf_dir, t) for t in ("ingest_items", "locations", "genders")}
     typed = spark.sql(_typed(SPARK).replace("FROM ingest_items", "FROM {ingest_items}").replace("FROM locations", "FROM {locations}").replace("FROM genders", "FROM {genders}"), **src)
-    typed = materialize(typed, "canon-typed").df
-    forms = materialize(spark.sql(forms_sql(SPARK).replace("FROM typed", "FROM {typed}"), typed=typed), "canon-forms").df
+    written = materialize(typed, "canon-typed")
+    typed = written.df
+    # a value is a row here however often it is typed; its forms and their keys follow it to one of many tasks
+    spread = typed.repartition(partitions_for(written.rows(), values_per_task), "value")
+    forms = spark.sql(forms_sql(SPARK).replace("FROM typed", "FROM {typed}"), typed=spread)
     variants = spark.sql(
-        " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS field_name, ref_id, variant, fuzzy FROM ({variants_sql(SPARK, k)}) AS x WHERE variant <> ''" for k in ("country", "gender")).replace("FROM locations", "FROM {locations}").replace("FROM genders", "FROM {genders}"),
+        " UNION ALL ".join(f"SELECT '{k}' AS field_name, ref_id, variant, bool_or(fuzzy) AS fuzzy FROM ({variants_sql(SPARK, k)}) AS x WHERE variant <> '' GROUP BY ref_id, variant" for k in ("country", "gender")).replace("FROM locations", "FROM {locations}").replace("FROM genders", "FROM {genders}"),
         locations=src["locations"], genders=src["genders"],
     )
     variants = materialize(variants, "canon-variants").df
-    exact = spark.sql("SELECT f.field_name, f.value, v.ref_id, 0 AS pass, 0.0 AS slips, 0 AS lev, f.rank FROM {forms} AS f JOIN {variants} AS v ON f.field_name = v.field_name AND f.form = v.variant", forms=forms, variants=variants)
-    exact = materialize(exact, "canon-exact").df
-    open_forms = spark.sql("SELECT * FROM {forms} AS f LEFT ANTI JOIN {exact} AS e ON f.field_name = e.field_name AND f.value = e.value", forms=forms, exact=exact)
-    # variants in K + 1 segments; the first (length mod (K + 1)) of them are a letter longer
+    # k + 1 segments of a variant; the first (length mod (k + 1)) of them are a letter longer
     segments = spark.sql(
-        f"""SELECT field_name, ref_id, variant, start, substr(variant, start + 1, size) AS seg FROM (
-              SELECT field_name, ref_id, variant, no * base + least(no, longer) AS start, base + if(no < longer, 1, 0) AS size FROM (
-                SELECT *, length(variant) div {K + 1} AS base, length(variant) % {K + 1} AS longer FROM {{variants}} WHERE fuzzy AND length(variant) >= 5) AS v
-              LATERAL VIEW explode(sequence(0, {K})) AS no) AS s WHERE size > 0""",
+        f"""SELECT field_name, ref_id, variant, fuzzy, k, start, substr(variant, start + 1, size) AS seg FROM (
+              SELECT *, no * base + least(no, longer) AS start, base + if(no < longer, 1, 0) AS size FROM (
+                SELECT *, length(variant) div (k + 1) AS base, length(variant) % (k + 1) AS longer FROM (SELECT *, {EDITS} AS k FROM {{variants}}) AS w) AS v
+              LATERAL VIEW explode(sequence(0, k)) AS no) AS s
+            UNION ALL SELECT field_name, ref_id, variant, fuzzy, -1, 0, {SORTED.format('variant')} FROM {{variants}} WHERE fuzzy AND length(variant) >= 5""",
         variants=variants,
     )
+    # substrings as long as the segments of a variant may be whose length differs by at most k; k = 0 is the whole form
     grams = spark.sql(
-        f"""SELECT field_name, value, form, rank, at, substr(form, at + 1, len) AS seg FROM {{forms}}
-              LATERAL VIEW explode(sequence(greatest(1, (length(form) - {K}) div {K + 1}), (length(form) + {K}) div {K + 1} + 1)) AS len
-              LATERAL VIEW explode(sequence(0, greatest(0, length(form) - len))) AS at""",
-        forms=open_forms,
+        f"""SELECT field_name, value, form, rank, k, at, substr(form, at + 1, len) AS seg FROM (
+              SELECT *, stack(2, 3, greatest(8, length(form) - 3) div 4, (length(form) + 3) div 4 + 1, 1, greatest(5, length(form) - 1) div 2, least(7, length(form) + 1) div 2 + 1) AS (k, least_len, most_len) FROM {{forms}} WHERE length(form) >= 4) AS f
+              LATERAL VIEW explode(CASE WHEN most_len >= least_len AND length(form) >= least_len THEN sequence(least_len, least(most_len, length(form))) END) AS len
+              LATERAL VIEW explode(sequence(0, length(form) - len)) AS at
+            UNION ALL SELECT field_name, value, form, rank, 0, 0, form FROM {{forms}}
+            UNION ALL SELECT field_name, value, form, rank, -1, 0, {SORTED.format('form')} FROM {{forms}} WHERE length(form) >= 5""",
+        forms=forms,
     )
     pairs = spark.sql(
-        f"""SELECT DISTINCT g.field_name, g.value, g.rank, g.form AS a, s.variant AS b, s.ref_id FROM {{grams}} AS g JOIN {{segments}} AS s
-              ON g.field_name = s.field_name AND g.seg = s.seg AND abs(g.at - s.start) <= {K} AND abs(length(g.form) - length(s.variant)) <= {K}""",
+        """SELECT DISTINCT g.field_name, g.value, g.rank, g.form AS a, s.variant AS b, s.ref_id, s.fuzzy FROM {grams} AS g JOIN {segments} AS s
+              ON g.field_name = s.field_name AND g.k = s.k AND g.seg = s.seg AND abs(g.at - s.start) <= greatest(g.k, 0) AND abs(length(g.form) - length(s.variant)) <= greatest(g.k, 0)""",
         grams=grams, segments=segments,
     )
-    tail = _match_tail(BAG_SPARK, "{pairs}").replace("FROM exact", "FROM {exact}")
-    best = spark.sql("WITH " + tail.strip() + " SELECT * FROM best", pairs=pairs, exact=exact)
+    tail = _match_tail(f"levenshtein(a, b, {MOST})", BAG_SPARK, "{pairs}")
+    best = spark.sql("WITH " + tail.strip() + " SELECT * FROM best", pairs=pairs)
     best = materialize(best, "canon-best").df
     return spark.sql(
         """SELECT field_name, value, ref_id FROM {best} UNION ALL
@@ -166,11 +175,9 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DUCK = f"""typed AS ({_typed(DUCK)}),
 forms AS ({forms_sql(DUCK)}),
-variants AS ({" UNION ALL ".join(f"SELECT DISTINCT '{k}' AS field_name, ref_id, variant, fuzzy FROM ({variants_sql(DUCK, k)}) AS x WHERE variant <> ''" for k in ("country", "gender"))}),
-exact AS (SELECT f.field_name, f.value, v.ref_id, 0 AS pass, 0.0 AS slips, 0 AS lev, f.rank FROM forms AS f JOIN variants AS v ON f.field_name = v.field_name AND f.form = v.variant),
-cand AS (SELECT f.field_name, f.value, f.rank, f.form AS a, v.variant AS b, v.ref_id FROM forms AS f JOIN variants AS v ON f.field_name = v.field_name AND v.fuzzy AND abs(length(f.form) - length(v.variant)) <= {K}
-  WHERE NOT EXISTS (SELECT 1 FROM exact AS e WHERE e.field_name = f.field_name AND e.value = f.value)),
-{_match_tail(BAG_DUCK, "cand").strip()},
+variants AS ({" UNION ALL ".join(f"SELECT '{k}' AS field_name, ref_id, variant, bool_or(fuzzy) AS fuzzy FROM ({variants_sql(DUCK, k)}) AS x WHERE variant <> '' GROUP BY ref_id, variant" for k in ("country", "gender"))}),
+cand AS (SELECT f.field_name, f.value, f.rank, f.form AS a, v.variant AS b, v.ref_id, v.fuzzy FROM forms AS f JOIN variants AS v ON f.field_name = v.field_name AND abs(length(f.form) - length(v.variant)) <= {MOST}),
+{_match_tail("levenshtein(a, b)", BAG_DUCK, "cand").strip()},
 mapped AS (SELECT t.field_name, t.value, coalesce(b.ref_id, -1) AS ref_id FROM typed AS t LEFT JOIN best AS b ON t.field_name = b.field_name AND t.value = b.value),
 items AS (SELECT item_id, 'country' AS field_name, country AS value FROM ingest_items UNION ALL SELECT item_id, 'gender', gender FROM ingest_items)
 """
