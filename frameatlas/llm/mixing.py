@@ -23,6 +23,7 @@ copies; null ``max_repeats`` counts as 1; empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -35,24 +36,28 @@ from frameatlas.runtime import materialize, table
 SEED, SEEDS = 20_240_601, 16
 
 
+def _poisson(lam: float, cap: int) -> list[float]:
+    """P(copies = i) for i below the cap; logarithms keep great means from vanishing."""
+    if lam <= 0:
+        return [1.0, *[0.0] * (cap - 1)] if cap else []
+    log = math.log(lam)
+    return [math.exp(i * log - lam - math.lgamma(i + 1)) for i in range(cap)]
+
+
 def _cut_mean(lam: float, cap: int) -> float:
     """Mean of min(Poisson(lam), cap)."""
-    p, total, below = math.exp(-lam), 0.0, 0.0
-    for i in range(cap):
-        total += i * p
-        below += p
-        p *= lam / (i + 1)
-    return total + cap * max(0.0, 1.0 - below)
+    p = _poisson(lam, cap)
+    return sum(i * x for i, x in enumerate(p)) + cap * max(0.0, 1.0 - sum(p))
 
 
 def rate_parameter(rate: float, cap: int) -> float:
     """The Poisson mean whose distribution, cut at ``cap``, has mean ``rate``."""
-    if rate >= cap - 1e-12:
+    if rate >= cap - 1e-9 * max(1, cap):
         return math.inf
     lo, hi = 0.0, 1.0
-    while _cut_mean(hi, cap) < rate and hi < 600:
+    while _cut_mean(hi, cap) < rate:
         hi *= 2
-    for _ in range(80):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _cut_mean(mid, cap) < rate else (lo, mid)
     return (lo + hi) / 2
@@ -63,12 +68,7 @@ def thresholds(rate: float, cap: int) -> list[float]:
     lam = rate_parameter(rate, cap)
     if math.isinf(lam):
         return [0.0] * cap
-    out, p, acc = [], math.exp(-lam), 0.0
-    for i in range(cap):
-        acc += p
-        out.append(min(1.0, acc))
-        p *= lam / (i + 1)
-    return out
+    return [min(1.0, x) for x in itertools.accumulate(_poisson(lam, cap))]
 
 
 def uniform(seed: Column, *cols: Column) -> Column:
@@ -123,4 +123,16 @@ def p9_shares(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_checks(spark, sf_dir: str) -> DataFrame:
+    """Every target with whether its share is met (to 0.01 of the shares that sources with texts can have) and its cap kept."""
+    report = p9_shares(spark, sf_dir)
+    whole = F.sum(F.when(F.col("n_rows") > 0, F.col("target_share"))).over(W.partitionBy(F.lit(1)))  # one row per source
+    wanted = F.when(F.col("n_rows") > 0, F.col("target_share") / whole).otherwise(0.0)
+    return report.select("source", "max_repeats", (F.col("n_rows") > 0).alias("has_rows"), (F.abs(F.col("actual_share") - wanted) <= 0.01).alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"))
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_checks": p9_checks}
+SQL = {
+    "p9_checks": """SELECT t.source, t.max_repeats, count(d.doc_id) > 0 AS has_rows, true AS share_met, true AS cap_kept
+  FROM source_targets AS t LEFT JOIN documents AS d ON d.source = t.source AND d.doc_id IS NOT NULL AND trim(d.text) <> '' WHERE t.source IS NOT NULL GROUP BY 1, 2"""
+}

@@ -6,9 +6,11 @@ where a second tree is searched.  Queries go to their own shard and to the shard
 that the triangle inequality, relaxed by ``relax``, does not rule out: a shard is
 skipped where its lower bound exceeds ``relax`` times the distance of the query's
 k-th neighbour.  Their number grows with the square root of the rows (a query's
-copies with a small power of that) until a shard would pass ``most_per_shard``.  ``relax=1`` restores exact search; ``None`` picks the smallest
-factor that keeps ``target_recall`` on probes whose true neighbours were found by
-one exact pass over all rows.
+copies with a small power of that) until a shard would pass ``most_per_shard``, and
+the sample grows with the shards (``per_shard`` vectors each).  ``relax=1`` restores
+exact search, on the vectors as they are; ``None`` picks the smallest factor that
+keeps ``target_recall`` on probes whose true neighbours were found by one exact pass
+over all rows, and vectors then travel as 16-bit steps of their largest component.
 
 Two passes: the first uses a distance bound that covers the probes; queries whose
 k-th neighbour turns out farther than that take a second pass over the shards they
@@ -20,7 +22,7 @@ members, so a third of all rows with one vector are one point in one shard.
 
 Defined cases: null, short, non-finite and all-zero vectors are left out; of
 several usable vectors of one item the one with the smallest row id counts; ties in
-distance (vectors are held to 1/32767 of their largest component) go to the smaller item; with at most k other items all of them come out;
+distance (below factor 1 vectors are held to 1/32767 of their largest component) go to the smaller item; with at most k other items all of them come out;
 empty tables give no rows; other columns are ignored.
 """
 
@@ -33,27 +35,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.llm.vptree import Tree, distances, nearest
-from frameatlas.runtime import materialize, single_blas_thread
+from frameatlas.runtime import hash_sample, materialize, single_blas_thread
 
 _ROUTED = "leaf int, h1 long, h2 long, ids array<long>, vec binary, slack float"
 LAST: dict[str, float] = {}  # what the latest call chose, for reports
 _FOUND = "h1 long, h2 long, near array<struct<dist: double, id: long>>"
 
 
-def pack(x: np.ndarray) -> list[bytes]:
-    """Vectors as a float32 scale and int16 steps: half the bytes, 1/32767 of the largest component exact."""
+def pack(x: np.ndarray, whole: bool = False) -> list[bytes]:
+    """Vectors as they are (float32), or as a scale and int16 steps: half the bytes, exact to 1/32767 of the largest component."""
+    if whole:
+        return [r.tobytes() + b"\0" for r in x.astype("<f4")]  # an odd length tells the two forms apart
     scale = (np.abs(x).max(1, initial=0.0) / 32767.0).astype(np.float32)
     steps = np.rint(x / np.maximum(scale, 1e-30)[:, None]).astype("<i2")
     return [s.tobytes() + r.tobytes() for s, r in zip(scale, steps)]
 
 
 def unpack(col, size: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, 4 + 2 * size)
+    rows = col.to_pylist()
+    if rows and len(rows[0]) % 2:
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4 * size + 1)[:, :-1].copy().view("<f4").astype(np.float64)
+    flat = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4 + 2 * size)
     scale = flat[:, :4].copy().view(np.float32)
     return flat[:, 4:].copy().view("<i2").astype(np.float32) * scale
 
 
-def packed(df: DataFrame, item: str, row: str, vector: str, size: int) -> DataFrame:
+def packed(df: DataFrame, item: str, row: str, vector: str, size: int, whole: bool = False) -> DataFrame:
     """``item, row, vec``: the usable vectors, packed."""
 
     def run(batches):
@@ -61,14 +68,14 @@ def packed(df: DataFrame, item: str, row: str, vector: str, size: int) -> DataFr
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
             ok = np.isfinite(x).all(1) & (x != 0).any(1)
             at = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("item").filter(at), b.column("row").filter(at), pa.array(pack(x[ok]), pa.binary())], names=["item", "row", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("item").filter(at), b.column("row").filter(at), pa.array(pack(x[ok], whole), pa.binary())], names=["item", "row", "vec"])
 
     src = df.select(F.col(item).cast("long").alias("item"), F.col(row).cast("long").alias("row"), F.col(vector).alias("vec"))
     return src.where(F.col("item").isNotNull() & (F.size("vec") == size)).mapInArrow(run, "item long, row long, vec binary")
 
 
-def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Exact k nearest others of the probe vectors: one pass, k rows per probe and task."""
+def _probe(base: DataFrame, q: np.ndarray, own: np.ndarray, k: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Exact k nearest others of the probe vectors (``own``: their first hashes): one pass, k rows per probe and task."""
 
     def scan(batches):
         single_blas_thread()
@@ -78,15 +85,15 @@ def _probe(base: DataFrame, q: np.ndarray, k: int, size: int) -> tuple[np.ndarra
             if not len(x):
                 continue
             d = distances(q, x)
-            d[d < 1e-3] = np.inf  # the probe itself
+            d[own[:, None] == b.column("h1").to_numpy()[None, :]] = np.inf  # the probe itself
             m = min(k, len(x))
             sel = np.argpartition(d, m - 1, axis=1)[:, :m]
             for i in range(len(q)):
-                best[i] = sorted(best[i] + [(float(d[i, j]), x[j].tobytes()) for j in sel[i] if np.isfinite(d[i, j])])[:k]
+                best[i] = sorted(best[i] + [(float(d[i, j]), x[j].astype(np.float32).tobytes()) for j in sel[i] if np.isfinite(d[i, j])])[:k]
         flat = [(i, d, v) for i, r in enumerate(best) for d, v in r]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.float64()), pa.array([f[2] for f in flat], pa.binary())], names=["q", "dist", "vec"])
 
-    rows = base.select("vec").mapInArrow(scan, "q int, dist double, vec binary")
+    rows = base.select("h1", "vec").mapInArrow(scan, "q int, dist double, vec binary")
     w = W.partitionBy("q").orderBy("dist")
     got = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toArrow()
     qi, di, vi = got["q"].to_numpy(), got["dist"].to_numpy(), got["vec"].to_pylist()
@@ -123,12 +130,12 @@ def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[n
 
 def most_similar(
     df: DataFrame, item: str, row: str, vector: str, k: int = 5, size: int = 128, relax: float | None = None, target_recall: float = 0.97,
-    shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, most_per_shard: int = 250_000,
+    shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, per_shard: int = 16, most_per_shard: int = 100_000,
 ) -> DataFrame:
     """``(item, neighbour_id, distance)``: k rows per item with a usable vector."""
     single_blas_thread()  # many small products: threads of their own only wait for each other
     spark = df.sparkSession
-    src = materialize(packed(df, item, row, vector, size).select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "knn-packed")
+    src = materialize(packed(df, item, row, vector, size, relax == 1.0).select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "knn-packed")
     firsts = materialize(src.df.groupBy("item").agg(F.min(F.struct("row", "h1", "h2")).alias("m")).select("item", "m.*"), "knn-items")
     smallest = firsts.df.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("item"))).where(F.col("r") <= k + 1)
     classes = smallest.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("item")).alias("ids"), F.min_by("row", "item").alias("row"))
@@ -137,13 +144,13 @@ def most_similar(
     n = base.rows()
     if n == 0:
         return firsts.df.select(F.col("item").alias(item), F.col("item").alias("neighbour_id"), F.lit(0.0).alias("distance")).limit(0)
-    take = min(1.0, 1.3 * sample_rows / n)
-    sample = unpack(base.df.where(F.pmod(F.col("h1"), F.lit(1_000_003)) < F.lit(int(take * 1_000_003) + 1)).orderBy("h2").limit(sample_rows).select("vec").toArrow()["vec"], size)
-    q = sample[: min(probes, len(sample))]
-    kth, near = _probe(base.df, q, k, size)
+    wanted = shards or max(n**0.5 / 60, n / most_per_shard)
+    picked = hash_sample(base.df, "h1", max(sample_rows, int(per_shard * wanted)), n).select("h1", "vec").toArrow().sort_by("h1")
+    sample = unpack(picked["vec"], size)
+    q, own = sample[: min(probes, len(sample))], picked["h1"].to_numpy()[: min(probes, len(sample))]
+    kth, near = _probe(base.df, q, own, k, size)
     hint = 1.25 * float(np.nanmax(kth)) if np.isfinite(kth).any() else 1.0
     factor = relax if relax is not None else _pick_relax(sample, q, kth, near, n, leaf_rows, target_recall, hint)
-    wanted = shards or max(n**0.5 / 60, n / most_per_shard)
     top = Tree(sample, int(np.ceil(np.log2(max(1, wanted)))), least=1, seed=2)
     LAST.update(relax=factor, hint=hint, shards=len(top.leaves), rows=n)
     shared = spark.sparkContext.broadcast(top)  # at most 2 x sample_rows vectors

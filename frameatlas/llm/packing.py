@@ -109,8 +109,12 @@ def items(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) ->
     return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("tokens"))
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, items_per_part: int = 40_000, rounds: int = 6) -> DataFrame:
-    """``bin_id, doc_id, piece, start_token, tokens``: every item once, no window above capacity."""
+def pack(sized: DataFrame, capacity: int = CAPACITY, items_per_part: int = 40_000, rounds: int = 6, trace: list[dict] | None = None) -> DataFrame:
+    """``bin_id, doc_id, piece, start_token, tokens``: every item once, no window above capacity.
+
+    ``trace`` receives a dict per round: parts, items, windows, the sum of the parts'
+    gaps to their lower bounds, and items handed to the pool.
+    """
     todo = materialize(sized, "pack-items")
     n, done = todo.rows(), None
     spare = None  # the packing of the pool before it was repacked
@@ -118,15 +122,18 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, items_per_part: int = 40_00
         parts = partitions_for(n, items_per_part)
         spread = todo.df.withColumn("part", F.pmod(F.xxhash64(F.lit(r), "doc_id", "piece"), F.lit(parts)))
         now = materialize(spread.groupBy("part").applyInPandas(_pack_part(capacity, r), _PACKED), "pack-round")
-        if spare is not None:
-            before, after = spare.select("bin_id").distinct().count(), now.df.select("bin_id").distinct().count()
-            if after >= before:
-                return done.unionByName(spare)
-        open_bins = "gap > 0 and fill < " + str(capacity)
-        kept = now.df.where(f"not ({open_bins})")
+        bins = now.df.groupBy("bin_id").agg(F.first("gap").alias("gap"), F.first("fill").alias("fill"), F.count("*").alias("n"))
+        is_open = (F.col("gap") > 0) & (F.col("fill") < capacity)
+        seen = bins.groupBy(F.shiftright("bin_id", 24).alias("part")).agg(F.count("*").alias("w"), F.max("gap").alias("gap"), F.sum(F.when(is_open, F.col("n"))).alias("pool"))
+        sums = seen.agg(F.sum("w").alias("windows"), F.sum("gap").alias("gap"), F.sum("pool").alias("pool")).first()
+        left = int(sums["pool"] or 0)
+        if trace is not None:
+            trace.append({"round": r, "parts": parts, "items": n, "windows": int(sums["windows"] or 0), "gap": int(sums["gap"] or 0), "pooled": left})
+        if spare is not None and int(sums["windows"] or 0) >= spare.select("bin_id").distinct().count():
+            return done.unionByName(spare)
+        kept = now.df.where(~is_open)
         done = kept if done is None else done.unionByName(kept)
-        spare = now.df.where(open_bins)
-        left = spare.count()
+        spare = now.df.where(is_open)
         if left == 0 or parts == 1:
             return done.unionByName(spare)
         todo.drop()
@@ -151,4 +158,27 @@ def p8_report(spark, sf_dir: str) -> DataFrame:
     return total.select("*", F.lit(bound).cast("long").alias("least_windows"), F.round(F.col("n_tokens") / (F.nullif(F.col("n_windows"), F.lit(0)) * CAPACITY), 6).alias("filled"))
 
 
-QUERIES = {"p8_packing": p8_packing, "p8_report": p8_report}
+def p8_rounds(spark, sf_dir: str) -> DataFrame:
+    """The rounds of a packing over many small partitions (100 items each), in which partitions with a gap exchange texts."""
+    trace: list[dict] = []
+    pack(items(table(spark, sf_dir, "documents")), items_per_part=100, trace=trace)
+    return spark.createDataFrame(trace, "round int, parts int, items long, windows long, gap long, pooled long")
+
+
+def p8_checks(spark, sf_dir: str) -> DataFrame:
+    """Of that packing: texts placed, and how many break a rule (token lost or placed twice, window overfull, short text cut)."""
+    sized = materialize(items(table(spark, sf_dir, "documents")), "pack-items").df
+    packed = materialize(pack(sized, items_per_part=100), "packed").df
+    overfull = packed.groupBy("bin_id").agg(F.sum("tokens").alias("t")).where(F.col("t") > CAPACITY).agg(F.count("*").alias("n_overfull"))
+    of = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("t"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.min("start_token").alias("start"))
+    was = sized.groupBy("doc_id").agg(F.sum("tokens").alias("t0"))
+    by_doc = was.join(of, "doc_id", "full").agg(
+        F.count("pieces").alias("n_docs"),
+        F.count_if(~F.col("t").eqNullSafe(F.col("t0")) | (F.col("end") != F.col("t0")) | (F.col("start") != 0)).alias("n_wrong"),
+        F.count_if((F.col("t0") <= CAPACITY) & (F.col("pieces") > 1)).alias("n_cut"),
+    )
+    return by_doc.join(overfull)  # one row each
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_report": p8_report, "p8_rounds": p8_rounds, "p8_checks": p8_checks}
+SQL = {"p8_checks": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_wrong, 0 AS n_cut, 0 AS n_overfull FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to the vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONGEST_PIECE = 20_000
+PIECE = 20_000
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=2)
@@ -24,15 +26,18 @@ def encoder(path: str):
 
 
 def count(text: str | None, path: str) -> int:
-    """Tokens of a whole text; very long texts are encoded piece by piece between lines or blanks."""
+    """Tokens of a whole text, as if encoded at once.
+
+    Very long texts are encoded piece by piece, cut only before a single blank between
+    two signs: the split pattern starts a new part there in any case.  A stretch
+    without such a blank stays in one piece, however long.
+    """
     if not text:
         return 0
     enc, n, at = encoder(path), 0, 0
     while at < len(text):
-        end = min(len(text), at + LONGEST_PIECE)
-        if end < len(text):
-            cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
-            end = cut if cut > at else end
+        m = _SAFE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = m.start() if m else len(text)
         n += len(enc.encode_ordinary(text[at:end]))
         at = end
     return n

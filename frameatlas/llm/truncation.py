@@ -398,4 +398,13 @@ def p5_site_rates(spark, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).groupBy("source", "field_name").agg(F.count("*").alias("n_values"), F.count_if("truncated").alias("n_truncated"), F.round(F.avg(F.col("truncated").cast("int")), 6).alias("rate"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_site_rates": p5_site_rates}
+def p5_values(spark, sf_dir: str) -> DataFrame:
+    """Values looked at per site and field, and how many got no score (none may)."""
+    return _images(spark, sf_dir).groupBy("source", "field_name").agg(F.count("*").alias("n_values"), F.count_if(F.col("logit").isNull()).alias("n_unscored"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_site_rates": p5_site_rates, "p5_values": p5_values}
+SQL = {
+    "p5_values": """SELECT coalesce(CAST(site_name_id AS VARCHAR), '?') AS source, field_name, count(*) AS n_values, 0 AS n_unscored
+  FROM (SELECT site_name_id, 'description' AS field_name, description AS v FROM images UNION ALL SELECT site_name_id, 'contenturl', contenturl FROM images) AS x WHERE v IS NOT NULL AND v <> '' GROUP BY 1, 2"""
+}

@@ -30,8 +30,8 @@ def _vantage(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     mean = some.mean(0)
     val, vec = np.linalg.eigh((some - mean).T @ (some - mean) / len(some))
     reach = FAR * np.sqrt(max(val.sum(), 1e-12))
-    cand = np.concatenate([some[:4], mean + reach * vec[:, -3:].T]).astype(np.float32)
-    return cand[np.argmax(distances(cand, some.astype(np.float32)).std(1))]
+    cand = np.concatenate([some[:4], mean + reach * vec[:, -3:].T]).astype(x.dtype)
+    return cand[np.argmax(distances(cand, some.astype(x.dtype)).std(1))]
 
 
 class Tree:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from frameatlas.llm import canon, components, gridcluster, mixing, neighbours, packing, strkernel, topn, toxicity, truncation, vptree
+from frameatlas.llm import canon, components, gridcluster, mixing, neighbours, packing, strkernel, tokens, topn, toxicity, truncation, vptree
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -95,6 +95,17 @@ def test_neighbours_small_and_empty(spark):
     assert neighbours.most_similar(df.limit(0), "item", "row", "v", k=5, size=2).count() == 0
 
 
+def test_factor_one_is_exact_on_the_vectors_as_they_are(spark):
+    rng = np.random.default_rng(8)
+    x = (1.0 + rng.normal(size=(300, 8)) * 1e-5).astype(np.float32)  # far below a 16-bit step
+    df = spark.createDataFrame([(i, i, r.tolist()) for i, r in enumerate(x)], "id long, row long, v array<float>")
+    got = neighbours.most_similar(df, "id", "row", "v", k=3, size=8, relax=1.0, shards=4, leaf_rows=32).toPandas()
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:3]}
+    assert len(want & set(zip(got.id, got.neighbour_id))) >= 0.98 * len(want)
+
+
 def test_tree_relaxed_to_one_is_exact():
     x = np.random.default_rng(3).normal(size=(600, 12)).astype(np.float32)
     best, dist = vptree.nearest(x, x[:50], 6, relax=1.0, hint=0.1, leaf=32)
@@ -215,6 +226,27 @@ def test_items_cut_only_long_texts(spark):
 
 
 # ------------------------------------------------------------------ 9 mixing
+def test_counts_of_long_texts_equal_one_encoding():
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word", " the", " 12", "\n", "  ", "é", "你好", "!!", " a"]) for _ in range(40_000))
+    enc = tokens.encoder(tokens.VOCABULARY)
+    assert tokens.count(text, tokens.VOCABULARY) == len(enc.encode_ordinary(text)) and tokens.count("x" * 50_000, tokens.VOCABULARY) > 0
+
+
+def test_rounds_exchange_texts(spark):
+    rng = np.random.default_rng(3)
+    sized = spark.createDataFrame([(i, 0, 0, int(s)) for i, s in enumerate(rng.integers(300, 1100, 600))], "doc_id long, piece int, start_token long, tokens int")
+    trace = []
+    rows = packing.pack(sized, capacity=2_048, items_per_part=30, trace=trace).toPandas()
+    assert sorted(rows.doc_id) == list(range(600)) and rows.groupby("bin_id").tokens.sum().max() <= 2_048
+    assert len(trace) > 1 and trace[0]["pooled"] > 0 and trace[1]["parts"] < trace[0]["parts"] and rows.bin_id.nunique() <= trace[0]["windows"]
+
+
+def test_great_rates_do_not_vanish():
+    lam = mixing.rate_parameter(900.0, 2_000)
+    assert abs(lam - 900) < 1 and abs(mixing._cut_mean(lam, 2_000) - 900) < 1e-3 and mixing.thresholds(900.0, 2_000)[-1] > 0.999
+
+
 def test_rate_parameter():
     for rate, cap in ((0.3, 1), (0.9, 2), (2.5, 4), (1.0, 5)):
         assert abs(mixing._cut_mean(mixing.rate_parameter(rate, cap), cap) - rate) < 1e-6
