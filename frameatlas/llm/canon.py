@@ -98,10 +98,14 @@ SORTED = "array_join(array_sort(split({}, '')), '')"
 
 
 def _match_tail(lev: str, bag: str, pairs: str) -> str:
-    """From candidate pairs (field_name, value, rank, a, b, ref_id, fuzzy) to the best reference per value."""
+    """From candidate pairs (field_name, value, rank, a, b, ref_id, fuzzy) to the best reference per value.
+
+    With at most one edit the letters differ by just that, so only more edits, and no
+    more than the allowed slips can explain, ask for the letter difference.
+    """
     return f"""
-near AS (SELECT field_name, value, ref_id, rank, lev, bag + (lev - bag) / 2.0 AS slips, allowed
-   FROM (SELECT *, {bag} AS bag, {ALLOWED} AS allowed FROM (SELECT *, {lev} AS lev FROM {pairs}) AS p WHERE lev BETWEEN 0 AND {MOST}) AS q),
+near AS (SELECT field_name, value, ref_id, rank, lev, CASE WHEN lev <= 1 THEN lev * 1.0 ELSE {bag} + (lev - {bag}) / 2.0 END AS slips, allowed
+   FROM (SELECT *, {lev} AS lev FROM (SELECT *, {ALLOWED} AS allowed FROM {pairs}) AS p) AS q WHERE lev BETWEEN 0 AND 2 * allowed),
 best AS (SELECT field_name, value, ref_id FROM (
    SELECT *, row_number() OVER (PARTITION BY field_name, value ORDER BY CASE WHEN lev = 0 THEN 0 ELSE 1 END, slips, lev, rank, ref_id) AS rn FROM near WHERE slips <= allowed) AS r WHERE rn = 1)"""
 
@@ -118,9 +122,8 @@ def map_values(spark: SparkSession, sf_dir: str, values_per_task: int = 1_000) -
     typed = spark.sql(_typed(SPARK).replace("FROM ingest_items", "FROM {ingest_items}").replace("FROM locations", "FROM {locations}").replace("FROM genders", "FROM {genders}"), **src)
     written = materialize(typed, "canon-typed")
     typed = written.df
-    # a value is a row here however often it is typed; its forms and their keys follow it to one of many tasks
-    spread = typed.repartition(partitions_for(written.rows(), values_per_task), "value")
-    forms = spark.sql(forms_sql(SPARK).replace("FROM typed", "FROM {typed}"), typed=spread)
+    forms = materialize(spark.sql(forms_sql(SPARK).replace("FROM typed", "FROM {typed}"), typed=typed), "canon-forms").df
+    tasks = partitions_for(written.rows(), values_per_task)
     variants = spark.sql(
         " UNION ALL ".join(f"SELECT '{k}' AS field_name, ref_id, variant, bool_or(fuzzy) AS fuzzy FROM ({variants_sql(SPARK, k)}) AS x WHERE variant <> '' GROUP BY ref_id, variant" for k in ("country", "gender")).replace("FROM locations", "FROM {locations}").replace("FROM genders", "FROM {genders}"),
         locations=src["locations"], genders=src["genders"],
@@ -146,11 +149,13 @@ def map_values(spark: SparkSession, sf_dir: str, values_per_task: int = 1_000) -
         forms=forms,
     )
     pairs = spark.sql(
-        """SELECT DISTINCT g.field_name, g.value, g.rank, g.form AS a, s.variant AS b, s.ref_id, s.fuzzy FROM {grams} AS g JOIN {segments} AS s
+        """SELECT g.field_name, g.value, g.rank, g.form AS a, s.variant AS b, s.ref_id, s.fuzzy FROM {grams} AS g JOIN {segments} AS s
               ON g.field_name = s.field_name AND g.k = s.k AND g.seg = s.seg AND abs(g.at - s.start) <= greatest(g.k, 0) AND abs(length(g.form) - length(s.variant)) <= greatest(g.k, 0)""",
         grams=grams, segments=segments,
     )
-    tail = _match_tail(f"levenshtein(a, b, {MOST})", BAG_SPARK, "{pairs}")
+    # a value is one however often it is typed; its pairs go to one of many tasks, and what follows stays there
+    pairs = pairs.repartition(tasks, "value").distinct()
+    tail = _match_tail("levenshtein(a, b, 2 * allowed)", BAG_SPARK, "{pairs}")
     best = spark.sql("WITH " + tail.strip() + " SELECT * FROM best", pairs=pairs)
     best = materialize(best, "canon-best").df
     return spark.sql(
