@@ -45,10 +45,11 @@ def parent_states(df: DataFrame, key: str, loaded: str, deleted: str) -> DataFra
 def broken_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """Referring rows with ``kind`` in missing / deleted / late, one per row of ``refs``."""
     keys = refs.groupBy("ref_id").agg(F.min("created_at").alias("first_use"))
-    missing = keys.join(parents, "ref_id", "left_anti").select("ref_id", F.lit(None).cast("boolean").alias("is_live"), F.lit(None).cast("timestamp_ntz").alias("live_since"))
-    suspect = keys.join(parents, "ref_id").where("not is_live or live_since > first_use").select("ref_id", "is_live", F.col("live_since").cast("timestamp_ntz").alias("live_since"))
+    # the anti-join as an outer join: one pass over the parents tells absent keys and the state of the others
+    doubtful = keys.join(parents, "ref_id", "left").where("is_live is null or not is_live or live_since > first_use")
+    doubtful = doubtful.select("ref_id", "is_live", F.col("live_since").cast("timestamp_ntz").alias("live_since"))
     kind = F.when(F.col("is_live").isNull(), "missing").when(~F.col("is_live"), "deleted").when(F.col("live_since") > F.col("created_at").cast("timestamp_ntz"), "late")
-    return refs.join(missing.unionByName(suspect), "ref_id").withColumn("kind", kind).where("kind is not null").select("table_name", "record_id", "field_name", "ref_id", "kind", "created_at")
+    return refs.join(doubtful, "ref_id").withColumn("kind", kind).where("kind is not null").select("table_name", "record_id", "field_name", "ref_id", "kind", "created_at")
 
 
 def orphan_report(groups: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:

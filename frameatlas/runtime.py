@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; on a local master a temporary one where it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
@@ -56,6 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
     have = jsc.getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="frameatlas-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -108,9 +111,9 @@ def materialize(df: DataFrame, name: str = "t") -> Written:
     return Written(spark, path)
 
 
-def partitions_for(rows: int, per_partition: int, least: int = 1, most: int = 20_000) -> int:
+def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     """Partition count that follows the data instead of a fixed setting."""
-    return max(least, min(most, -(-rows // per_partition)))
+    return max(least, -(-rows // per_partition))
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:
