@@ -70,53 +70,86 @@ def iou(a, b) -> float:
     return o / u if u > 0 else 0.0
 
 
-def resolve_overlaps(rows: list[dict], same_at: float = 0.75, any_at: float = 0.5) -> list[dict]:
-    """Boxes of a picture without double detections, best first.
-
-    Rows come in order of detection id.  A box that overlaps a kept one of its class by
-    ``same_at`` is merged into it (geometry becomes the union, payload columns stay); by
-    ``any_at`` the one with more confidence stays, ties keep the earlier one.
+# fixed values: (rule, preferred class, classes it stands before); pairs first, then families
+SUPPRESSION = [
+    ("pair_63_133", 133, {63}),
+    ("pair_67_137", 137, {67}),
+    ("pair_73_123", 123, {73}),
+    ("pair_65_135", 135, {65}),
+    ("pair_66_136", 136, {66}),
+    ("family_124_tablet", 124, {63, 67, 73, 133, 137, 123}),
+    ("family_93_clipboard", 93, {63, 67, 73, 133, 137}),
+    ("family_127_calculator", 127, {67, 137}),
+]
+BONUS, SURE, UNSURE, MODERATE = 0.2, 0.9, 0.3, 0.6
+_BEFORE = {(best, other) for _, best, others in SUPPRESSION for other in others}
+
+
+def _worth(a: dict, b: dict) -> float:
+    """Confidence of a box against another one: a class that stands before the other's counts more."""
+    return a["conf"] + BONUS * ((a["class_id"], b["class_id"]) in _BEFORE)
+
+
+def resolve_overlaps(rows: list[dict], at: float = 0.5) -> list[dict]:
+    """Boxes of a picture without double detections.
+
+    Boxes are taken by detection id, each against all later ones left; the last pair
+    that a box is in decides.  Of two that
+    overlap by ``at`` the one worth more goes on (ties: the earlier) if one is sure
+    (0.9), moderately sure (0.6), of the same class, or their difference is clear for
+    that overlap (0.3, less the more they overlap).  Of other pairs both stay.  Boxes
+    of a class that overlap by one and a half times ``at`` also become their union.
     """
     rows = sorted(rows, key=_by_id)
-    kept: list[dict] = []
-    for r in rows:
-        box = _box(r)
-        r["_box"], add = box, True
-        for k in list(kept):
-            o = iou(k["_box"], box)
-            if k["class_id"] == r["class_id"] and o >= same_at:
-                u = (*map(min, k["_box"][:2], box[:2]), *map(max, k["_box"][2:], box[2:]))
-                if r["conf"] > k["conf"]:
-                    kept.remove(k)
-                    r["_box"] = box = u
-                else:
-                    k["_box"], add = u, False
-                    break
-            elif o >= any_at and k["class_id"] != r["class_id"]:
-                if r["conf"] > k["conf"]:
-                    kept.remove(k)
-                else:
-                    add = False
-                    break
-        if add:
-            kept.append(r)
+    gone, kept = set(), []
+    for i, first in enumerate(rows):
+        if i in gone:
+            continue
+        best = first
+        for j in range(i + 1, len(rows)):
+            other = rows[j]
+            o = 0.0 if j in gone else iou(_box(first), _box(other))
+            if o < at:
+                continue
+            a, b = _worth(first, other), _worth(other, first)
+            surest, same = max(first["conf"], other["conf"]), first["class_id"] == other["class_id"]
+            clear = surest >= SURE or abs(a - b) >= UNSURE * (1 - o)
+            if not (clear or same or surest >= MODERATE):
+                continue
+            if clear or not same or o < 1.5 * at:
+                best = first if a >= b else other
+            if same and o >= 1.5 * at:
+                p, q = _box(first), _box(other)
+                union = dict(zip(("left", "top", "right", "bottom"), (*map(min, p[:2], q[:2]), *map(max, p[2:], q[2:]))))
+                best, first = best | union, first | union if best is first else first
+            gone.add(j)
+        kept.append(best)
     return kept
 
 
-def suppress(rows: list[dict], preferred: dict[tuple[int, int], int], at: float = 0.7, bonus: float = 0.2) -> list[dict]:
-    """Of two overlapping boxes of a listed class pair one stays: confidence plus a bonus for the preferred class."""
+def suppress(rows: list[dict], at: float = 0.7) -> tuple[list[dict], list[dict]]:
+    """Boxes left by the suppression rules, and one event per pair that a rule looked at.
+
+    Rules go in order; of two boxes that overlap by ``at`` the one worth less is taken
+    away, at a tie the one that isn't preferred.  An event is ``rule, decision`` (keep
+    or suppress), ``winner, loser`` (null where both stay), and whether the bonus or
+    the tie rule decided.
+    """
     rows = sorted(rows, key=_by_id)
-    alive = [True] * len(rows)
-    for i, a in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            ca, cb = a["class_id"], b["class_id"]
-            best = preferred.get((min(ca, cb), max(ca, cb)))
-            if best is None or not (alive[i] and alive[j]) or iou(_box(a), _box(b)) < at:
+    alive, events = [True] * len(rows), []
+    for rule, best, others in SUPPRESSION:
+        ours, theirs = [i for i, r in enumerate(rows) if alive[i] and r["class_id"] == best], [i for i, r in enumerate(rows) if alive[i] and r["class_id"] in others]
+        for i, j in [(i, j) for j in theirs for i in ours] if rule.startswith("pair") else [(i, j) for i in ours for j in theirs]:
+            if not (alive[i] and alive[j]):
                 continue
-            sa, sb = a["conf"] + bonus * (ca == best), b["conf"] + bonus * (cb == best)
-            alive[j if sa > sb or (sa == sb and ca == best) else i] = False
-    return [r for r, ok in zip(rows, alive) if ok]
+            event = {"image_id": rows[i]["image_id"], "rule": rule, "decision": "keep", "winner": None, "loser": None, "by_bonus": False, "by_tie": False}
+            if iou(_box(rows[i]), _box(rows[j])) >= at:
+                a, b = _worth(rows[i], rows[j]), _worth(rows[j], rows[i])
+                win, lose = (i, j) if a >= b else (j, i)
+                alive[lose] = False
+                event |= {"decision": "suppress", "winner": rows[win]["detection_id"], "loser": rows[lose]["detection_id"], "by_bonus": win == i, "by_tie": a == b}
+            events.append(event)
+    return [r for r, ok in zip(rows, alive) if ok], events
 
 
 def merge_adjacent(rows: list[dict], gap: float = 20.0, at: float = 0.5) -> list[dict]:
@@ -175,16 +208,21 @@ def refine_new(rows: list[dict], at: float = 0.5) -> list[dict]:
 
 
 # ---------------------------------------------------------------- nine slots
-SLOT_ZONES = {  # fixed values: where an object must lie, in face heights from the nose
-    "top_face": (-1.0, -1.5, 1.0, -0.35), "left_eye": (-0.6, -0.35, 0.0, 0.05), "right_eye": (0.0, -0.35, 0.6, 0.05), "mouth": (-0.5, 0.05, 0.5, 0.75),
-    "shoulder": (-2.0, 0.75, 2.0, 1.6), "waist": (-2.0, 1.6, 2.0, 3.6), "feet": (-3.0, 3.6, 3.0, 9.0),
-}
+SLOT_ZONES = ("top_face", "left_eye", "right_eye", "mouth", "shoulder", "waist", "feet")
 TOUCH_NEAR, TOUCH_FAR, DUAL_RATIO, TIE_CLASS = 0.5, 1.0, 2.5, 27
 
 
-def assign_slots(rows: list[dict]) -> list[dict]:
+# fixed values: what a slot's level (unusual 1, usual 2) adds to confidence; 0 is never
+LEVEL_BIAS = {1: -0.12, 2: 0.06}
+
+
+def assign_slots(rows: list[dict], levels: dict[tuple[int, str], int] | None = None) -> list[dict]:
     """One record per picture with a detection id (or null) for each of nine slots.
 
+    Rows carry ``in_<slot>`` (does the box lie in the slot's zone) and ``in_tie``.
+    ``levels`` are the levels of (class, slot), "hand" standing for both hands; a class
+    that isn't listed may stand anywhere, level 0 nowhere, and the others move the score.
+
     Order: neck ties first (shoulder zone, then the hands), then the best object of each
     hand (touching within 0.5 face heights, else within 1.0; nearer, surer objects first;
     an object nearer to one hand by a factor of 2.5 goes to that hand alone), then eyes,
@@ -202,16 +240,16 @@ def assign_slots(rows: list[dict]) -> list[dict]:
         dx, dy = max(r["left"] - p[0], 0.0, p[0] - r["right"]), max(r["top"] - p[1], 0.0, p[1] - r["bottom"])
         return float(np.hypot(dx, dy))
 
-    def inside(r, z):
-        cx, cy = (r["left"] + r["right"]) / 2, (r["top"] + r["bottom"]) / 2
-        return z[0] <= cx <= z[2] and z[1] <= cy <= z[3]
+    def worth(r, slot):
+        level = 2 if levels is None else levels.get((r["class_id"], "hand" if slot.endswith("_hand") else slot), 2)
+        return None if level == 0 else r["conf"] + (0.0 if levels is None else LEVEL_BIAS[level])
 
     def put(slot, r):
         out[slot] = int(r["detection_id"])
         used.add(int(r["detection_id"]))
 
     for r in [r for r in rows if r["class_id"] == TIE_CLASS]:
-        if out["shoulder"] is None and inside(r, SLOT_ZONES["shoulder"]):
+        if out["shoulder"] is None and r["in_tie"]:
             put("shoulder", r)
         else:
             near = [h for h, p in hands.items() if out[h] is None and gap(r, p) <= TOUCH_NEAR]
@@ -230,17 +268,19 @@ def assign_slots(rows: list[dict]) -> list[dict]:
                 other = min((gap(r, q) for k, q in hands.items() if k != h), default=np.inf)
                 if g > 0.05 and other * DUAL_RATIO < g:
                     continue
-                cand.append((-g / TOUCH_NEAR + 0.10 * r["conf"], -int(r["detection_id"]), r))
+                w = worth(r, h)
+                if w is not None:
+                    cand.append((-g / TOUCH_NEAR + 0.10 * w, -int(r["detection_id"]), r))
             if cand:
                 best = max(cand, key=lambda c: c[:2])[2]
                 break
         if best is not None:
             put(h, best)
-    for slot, zone in [("left_eye", SLOT_ZONES["left_eye"]), ("right_eye", SLOT_ZONES["right_eye"]), *((s, z) for s, z in SLOT_ZONES.items() if "eye" not in s)]:
-        if out[slot] is None:
-            r = next((r for r in rows if int(r["detection_id"]) not in used and inside(r, zone)), None)
-            if r is not None:
-                put(slot, r)
+    for slot in ("left_eye", "right_eye", *(s for s in SLOT_ZONES if not s.endswith("_eye"))):
+        fit = [(worth(r, slot), r) for r in rows if int(r["detection_id"]) not in used and r[f"in_{slot}"]]
+        fit = [(w, -int(r["detection_id"]), r) for w, r in fit if w is not None]
+        if out[slot] is None and fit:
+            put(slot, max(fit, key=lambda c: c[:2])[2])
     return [{"image_id": int(first["image_id"]), **out}]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameatlas.operators.slices import exact_quantiles
+
 
 def ratio(a: Column | str, b: Column | str, digits: int = 4) -> Column:
     """a / b rounded; null where b is 0."""
@@ -13,14 +15,14 @@ def ratio(a: Column | str, b: Column | str, digits: int = 4) -> Column:
     return F.round(a / F.nullif(b, F.lit(0)), digits)
 
 
-def nearest_rank(col: str, q: float) -> Column:
-    return F.expr(f"percentile_disc({q}) within group (order by {col})")
-
-
 def iqr_bounds(df: DataFrame, axes: list[str], scale: float = 1.0) -> dict[str, tuple[float, float, float]]:
-    """Median, interquartile range (linear interpolation) and ``scale`` of every axis; one aggregate, one row."""
-    row = df.agg(*[F.percentile(F.col(a).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(a) for a in axes]).first()
-    return {a: (row[a][1], row[a][2] - row[a][0], scale) for a in axes if row[a] is not None}
+    """Median, interquartile range (linear interpolation) and ``scale`` of every axis."""
+    out = {}
+    for a in axes:
+        row = exact_quantiles(df, None, a, {"lo": 0.25, "mid": 0.5, "hi": 0.75}).first()
+        if row is not None:
+            out[a] = (row["mid"], row["hi"] - row["lo"], scale)
+    return out
 
 
 def adaptive_iqr(df: DataFrame, axes: list[str], target: int, most: float = 3.0, steps: int = 12) -> tuple[DataFrame, float]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.operators import matrices as M
+from frameatlas.operators import slices as SL
 from frameatlas.operators import stats as ST
 from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import KEYWORDS, SLOT_SQL, SLOTS, keywords, slots_long
@@ -32,18 +33,17 @@ def detection_counts(spark, d):
 @query("A6 A7 R20 W3", f"""SELECT cluster_id, count(*) AS n, round(avg(cluster_dist), 6) AS avg_dist, round(stddev_pop(cluster_dist), 6) AS sd_dist, min(cluster_dist) AS min_dist, max(cluster_dist) AS max_dist,
   round(sum(cluster_dist), 6) AS sum_dist, quantile_disc(cluster_dist, 0.9) AS p90 FROM imagesbodyposes3d WHERE {DIST} GROUP BY 1""")
 def pose_cluster_cohesion(spark, d):
-    x = F.col("cluster_dist")
-    return _dist(spark, d).groupBy("cluster_id").agg(
-        F.count("*").alias("n"), F.round(F.avg(x), 6).alias("avg_dist"), F.round(F.stddev_pop(x), 6).alias("sd_dist"), F.min(x).alias("min_dist"), F.max(x).alias("max_dist"), F.round(F.sum(x), 6).alias("sum_dist"), ST.nearest_rank("cluster_dist", 0.9).alias("p90"),
-    )
+    x, rows = F.col("cluster_dist"), _dist(spark, d).select("cluster_id", "cluster_dist")
+    stats = rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("avg_dist"), F.round(F.stddev_pop(x), 6).alias("sd_dist"), F.min(x).alias("min_dist"), F.max(x).alias("max_dist"), F.round(F.sum(x), 6).alias("sum_dist"))
+    return stats.join(SL.exact_quantiles(rows, "cluster_id", "cluster_dist", {"p90": 0.9}, nearest=True), "cluster_id")
 
 
 @query("A8 J6", f"""WITH c AS (SELECT cluster_id, quantile_disc(cluster_dist, 0.9) AS p FROM imagesbodyposes3d WHERE {DIST} GROUP BY 1), t AS (SELECT quantile_disc(cluster_dist, 0.9) AS p FROM imagesbodyposes3d WHERE {DIST})
   SELECT count(*) AS n_clusters, count(*) FILTER (WHERE c.p > t.p) AS n_mixed, round(count(*) FILTER (WHERE c.p > t.p) / nullif(count(*), 0), 4) AS mixed_rate FROM c, t""")
 def mixed_rate(spark, d):
     x = _dist(spark, d)
-    c = x.groupBy("cluster_id").agg(ST.nearest_rank("cluster_dist", 0.9).alias("p"))
-    t = x.agg(ST.nearest_rank("cluster_dist", 0.9).alias("tp"))
+    c = SL.exact_quantiles(x, "cluster_id", "cluster_dist", {"p": 0.9}, nearest=True)
+    t = SL.exact_quantiles(x, None, "cluster_dist", {"tp": 0.9}, nearest=True)
     mixed = F.count_if(F.col("p") > F.col("tp"))
     return c.join(F.broadcast(t)).agg(F.count("*").alias("n_clusters"), mixed.alias("n_mixed"), ST.ratio(mixed, F.count("*")).alias("mixed_rate"))
 
@@ -258,7 +258,7 @@ def adaptive_iqr(spark, d):
   SELECT count(*) AS n, count(*) FILTER (WHERE abs(x) < 15 AND abs(y) < 15) AS n_fixed, count(*) FILTER (WHERE abs(x - mx) <= 1.5 * ix AND abs(y - my) <= 1.5 * iy) AS n_iqr, count(*) FILTER (WHERE abs(x - ax) <= 2 * sx AND abs(y - ay) <= 2 * sy) AS n_sigma FROM e, s""")
 def filter_survival(spark, d):
     e = T(spark, d, "encodings_migration").select(F.col("face_x").cast("double").alias("x"), F.col("face_y").cast("double").alias("y")).where("x is not null and y is not null")
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    s = e.agg(*[f for c in "xy" for f in (p(c, 0.5).alias(f"m{c}"), (p(c, 0.75) - p(c, 0.25)).alias(f"i{c}"), F.avg(c).alias(f"a{c}"), F.stddev_samp(c).alias(f"s{c}"))])
+    q = [SL.exact_quantiles(e, None, c, {f"l{c}": 0.25, f"m{c}": 0.5, f"h{c}": 0.75}).select(f"m{c}", F.expr(f"h{c} - l{c}").alias(f"i{c}")) for c in "xy"]
+    s = e.agg(*[f for c in "xy" for f in (F.avg(c).alias(f"a{c}"), F.stddev_samp(c).alias(f"s{c}"))]).join(q[0]).join(q[1])  # one row each
     near = lambda m, w, k: F.expr(" and ".join(f"abs({c} - {m}{c}) <= {k} * {w}{c}" for c in "xy"))
     return e.join(F.broadcast(s)).agg(F.count("*").alias("n"), F.count_if(F.expr("abs(x) < 15 and abs(y) < 15")).alias("n_fixed"), F.count_if(near("m", "i", 1.5)).alias("n_iqr"), F.count_if(near("a", "s", 2)).alias("n_sigma"))

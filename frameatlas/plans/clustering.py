@@ -14,6 +14,8 @@ from frameatlas.functions import columns as C
 from frameatlas.operators import grouped as G
 from frameatlas.operators import pairs as P
 from frameatlas.operators import signatures as SG
+from frameatlas.operators import slices as SL
+from frameatlas.operators import zones as Z
 from frameatlas.operators.nearest import assign_nearest
 from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import SLOTS, detection_dim, slots_long
@@ -147,21 +149,57 @@ def topic_collapse_apply(spark, d):
     return out.groupBy(F.col("topic").alias("topic_id"), "target").agg(F.count_distinct("item").alias("n"))
 
 
-@query("C12", f"""WITH {BOXES}, z AS (SELECT detection_id, obj_no, ((l - 600) / 120 + (r - 600) / 120) / 2 AS cx, ((t - 300) / 120 + (m - 300) / 120) / 2 AS cy FROM bb)
-  SELECT detection_id, obj_no, cx BETWEEN -1 AND 1 AND cy BETWEEN -1.5 AND -0.35 AS top_face, cx BETWEEN -0.5 AND 0.5 AND cy BETWEEN 0.05 AND 0.75 AS mouth, cx BETWEEN -2 AND 2 AND cy BETWEEN 0.75 AND 1.6 AS shoulder, cx BETWEEN -3 AND 3 AND cy BETWEEN 3.6 AND 9 AS feet FROM z""")
-def zone_predicates(spark, d):
-    n = C.normalised(F.col("b"), F.lit(600.0), F.lit(300.0), F.lit(120.0))
-    cx, cy = C.centre(n)
-    zone = lambda s: (cx.between(G.SLOT_ZONES[s][0], G.SLOT_ZONES[s][2]) & cy.between(G.SLOT_ZONES[s][1], G.SLOT_ZONES[s][3])).alias(s)
-    return boxes(spark, d).select("detection_id", "obj_no", *[zone(s) for s in ("top_face", "mouth", "shoulder", "feet")])
+# boxes in face heights: the tables have no nose and face height in pixels, so a fixed place stands in for them
+_NORM = f"""{BOXES}, z AS (SELECT detection_id, obj_no, image_id, class_id, (l - 600) / 120 AS l, (t - 300) / 120 AS t, (r - 600) / 120 AS r, (m - 300) / 120 AS m FROM bb)"""
 
 
-@query("C13 C14", f"WITH {BOXES} SELECT detection_id, obj_no, round(CASE WHEN class_id % 3 = 0 THEN -9999.0 WHEN class_id % 3 = 1 THEN -0.12 ELSE 0.06 END + 0.10 * conf, 6) AS score FROM bb WHERE conf IS NOT NULL")
+def _normal_boxes(spark, d):
+    n = C.normalised(F.col("b"), F.lit(600.0), F.lit(300.0), F.lit(120.0))
+    return boxes(spark, d).select("detection_id", "obj_no", "image_id", "class_id", n.alias("n"))
+
+
+@query("C12", f"""WITH {_NORM} SELECT detection_id, obj_no,
+  NOT (r < -0.9 OR l > -0.05 OR m < -0.65 OR t > 0.15) AS left_eye, NOT (r < 0.05 OR l > 0.9 OR m < -0.65 OR t > 0.15) AS right_eye, NOT (r < -0.9 OR l > 0.9 OR m < -0.45 OR t > 0.45) AS under_eye,
+  NOT (r < -0.9 OR l > 0.9 OR m < -0.8 OR t > 0.3) AS eye_cover, NOT (r < -1 OR l > 1 OR m < -1.1 OR t > -0.1) AS forehead, NOT (r < -1.4 OR l > 1.4 OR m < 2.5 OR t > 4.5) AS waist, NOT (r < -2 OR l > 2 OR m < 4.75 OR t > 10.2) AS feet,
+  l < 0 AND r > 0 AND r - l <= 2 AND t < 0 AND greatest(0, m) <= 0.75 AS top_face, l < 0 AND r > 0 AND r - l <= 2 AND m > 0 AND greatest(0, -t) <= 0.75 AS bottom_face, l < 0 AND r > 0 AND r - l <= 2 AND m > 0 AND greatest(0, -t) <= 0 AS mouth,
+  l < 0 AND r > 0 AND r - l <= 2 AND t BETWEEN -0.4 AND 0.5 AND m BETWEEN 0.3 AND 0.8 AS covid_mask, l < -0.15 AND r > 0.15 AND r - l <= 2 AND t <= -0.15 AND m >= 0.15 AS full_face,
+  r > l AND m > t AND l < 0 AND r > 0 AND abs((l + r) / 2) <= 0.35 AND r - l <= 1.25 AND t <= 1.25 AND m BETWEEN 0.35 AND 3.4 AND m - t >= 0.45 AND m - t >= 1.1 * (r - l) AS tie_neck,
+  l <= 1.0 AND r >= -1.0 AND m >= least(1.1 + (greatest(l, -1.0) + 1.0) * 0.1, 1.1 + (least(r, 1.0) + 1.0) * 0.1)
+    AND t <= greatest(1.1 + (greatest(l, -1.0) + 1.0) * 0.1, 1.1 + (least(r, 1.0) + 1.0) * 0.1) + 1.0 + CASE WHEN class_id IN (24, 26, 83, 90) THEN 1.5 ELSE 0 END AS shoulder,
+  sqrt(pow(greatest(l - 0.4, 0, 0.4 - r), 2) + pow(greatest(t - 2.0, 0, 2.0 - m), 2)) <= 0.5 AS touches_hand FROM z""")
+def zone_predicates(spark, d):
+    """All zone predicates; shoulders lie at (-1, 1.1) and (1, 1.3), the hand at (0.4, 2)."""
+    n, f = F.col("n"), lambda x: F.lit(float(x))
+    shoulder = Z.on_shoulder(n, F.col("class_id"), (f(-1), f(1.1)), (f(1), f(1.3)))
+    return _normal_boxes(spark, d).select("detection_id", "obj_no", *[c.alias(k) for k, c in Z.zones(n).items()], shoulder.alias("shoulder"), (Z.hand_gap(n, f(0.4), f(2)) <= Z.TOUCH).alias("touches_hand"))
+
+
+@query("C14", f"""WITH {_NORM}, i AS (SELECT id, image_id, left_pointer_x AS x1, left_pointer_y AS y1, right_pointer_x AS x2, right_pointer_y AS y2 FROM imagesdetections),
+  g AS (SELECT id, detection_id, obj_no, (l + r) / 2 AS cx, (t + m) / 2 AS cy, ((t >= -0.4)::INT + (t <= 0.5)::INT + (m >= 0.3)::INT + (m <= 0.8)::INT) / 4.0::DOUBLE AS fits,
+    CASE WHEN x1 <> 0 OR y1 <> 8 THEN sqrt(pow(greatest(l - x1, 0, x1 - r), 2) + pow(greatest(t - y1, 0, y1 - m), 2)) END AS d1, CASE WHEN x2 <> 0 OR y2 <> 8 THEN sqrt(pow(greatest(l - x2, 0, x2 - r), 2) + pow(greatest(t - y2, 0, y2 - m), 2)) END AS d2
+    FROM z JOIN i ON i.image_id = z.image_id WHERE class_id = 110),
+  h AS (SELECT *, greatest(0, 1 - abs(cx) / 0.35) AS line, coalesce(greatest(0, 1 - least(d1, d2)), 0) AS hand, CASE WHEN d1 <= 0.5 AND d2 <= 0.5 THEN 1.0 ELSE 0.0 END AS both_, CASE WHEN fits < 0.5 AND (cy < -0.4 OR cy > 0.8) THEN 1.0 ELSE 0.0 END AS off FROM g),
+  s AS (SELECT id, detection_id, obj_no, 0.4 * fits + 0.25 * line * greatest(0, 1 - abs(cy - 0.2) / 0.9) + 0.15 * line - 0.2 * hand AS worn, 0.2 * hand + 0.1 * both_ + 0.25 * off - 0.4 * fits AS held FROM h)
+  SELECT id, detection_id, obj_no, round(worn, 6) AS worn, round(held, 6) AS held, CASE WHEN worn >= 0.6 AND worn >= held + 0.12 THEN 'worn' WHEN held >= 0.6 AND held >= worn + 0.12 THEN 'held' ELSE 'ambiguous' END AS intent FROM s""")
+def mask_intent(spark, d):
+    """Masks (class 110) as worn on the face, held in a hand, or neither clearly, for every slot row of the picture."""
+    i = T(spark, d, "imagesdetections").select("id", "image_id", *[F.col(f"{s}_pointer_{a}").alias(f"{s}_{a}") for s in ("left", "right") for a in "xy"])
+    worn, held, intent = Z.mask_intent(F.col("n"), [(F.col("left_x"), F.col("left_y")), (F.col("right_x"), F.col("right_y"))])
+    return _normal_boxes(spark, d).where("class_id = 110").join(i, "image_id").select("id", "detection_id", "obj_no", F.round(worn, 6).alias("worn"), F.round(held, 6).alias("held"), intent.alias("intent"))
+
+
+@query("C13", f"""WITH {BOXES}, m AS (SELECT c AS class_id, k, ['hand', 'left_eye', 'right_eye', 'top_face', 'mouth', 'shoulder', 'waist', 'feet'][k + 1] AS slot, (c + k) % 3 AS level FROM range(141) AS r(c), range(8) AS s(k))
+  SELECT detection_id, obj_no, slot, level::INT AS level, round(conf + CASE level WHEN 1 THEN -0.12 ELSE 0.06 END, 6) AS score FROM (
+    SELECT b.detection_id, b.obj_no, b.conf, s.slot, coalesce(m.level, 2) AS level FROM bb AS b, (SELECT DISTINCT slot FROM m) AS s LEFT JOIN m ON m.class_id = b.class_id AND m.slot = s.slot WHERE b.conf IS NOT NULL) AS x WHERE level > 0""")
 def compatibility_score(spark, d):
-    """Class x slot compatibility (never, unusual, usual) as a bias on confidence; the matrix is a joined table."""
-    bias = {0: -9999.0, 1: -0.12, 2: 0.06}
-    m = spark.createDataFrame([(c, bias[c % 3]) for c in range(200)], "class_id int, bias double")
-    return boxes(spark, d).where("conf is not null").join(F.broadcast(m), "class_id").select("detection_id", "obj_no", F.round(F.col("bias") + 0.10 * F.col("conf"), 6).alias("score"))
+    """Confidence biased by a class x slot matrix (never 0, unusual 1, usual 2).
+
+    The matrix is a parameter of the operator, checked for 141 classes and eight slots;
+    here it is made by a rule.
+    """
+    rule = spark.createDataFrame([(c, *((c + k) % 3 for k in range(len(Z.MATRIX_SLOTS)))) for c in range(141)], ["class_id", *Z.MATRIX_SLOTS])
+    b = boxes(spark, d).where("conf is not null").select("detection_id", "obj_no", "class_id", "conf")
+    return Z.biased_scores(b, Z.checked_matrix(rule, 141), F.col("conf")).select("detection_id", "obj_no", "slot", "level", F.round("score", 6).alias("score"))
 
 
 def _flat(spark, d):
@@ -172,19 +210,36 @@ def _flat(spark, d):
 _FLAT = "image_id long, detection_id long, obj_no int, class_id int, conf double, left double, top double, right double, bottom double"
 
 
+def _resolved(spark, d):
+    return materialize(G.per_small_group(_flat(spark, d), "image_id", G.resolve_overlaps, _FLAT), "resolved").df
+
+
 @query("C9")
 def overlap_resolution(spark, d):
     return G.per_small_group(_flat(spark, d), "image_id", G.resolve_overlaps, _FLAT).select("image_id", "detection_id", "class_id")
 
 
-@query("C10 C31 R7")
+@query("C10")
+def suppression_rules(spark, d):
+    """Per rule: pairs looked at, both kept, one suppressed, and won by the bonus or by the tie rule."""
+    events = G.per_small_group(_resolved(spark, d), "image_id", lambda p: G.suppress(p)[1], "image_id long, rule string, decision string, winner long, loser long, by_bonus boolean, by_tie boolean")
+    cut = F.col("decision") == "suppress"
+    return events.groupBy("rule").agg(F.count("*").alias("n_pairs"), F.count_if(~cut).alias("n_kept"), F.count_if(cut).alias("n_suppressed"), F.count_if("by_bonus").alias("n_by_bonus"), F.count_if("by_tie").alias("n_by_tie"))
+
+
+@query("C31 R7")
 def suppression_audit(spark, d):
-    """Detections per class before and after the pair rules (old against new result)."""
-    rules = {(0, 1): 0, (26, 27): 27, (24, 26): 26}  # fixed values: class pairs and the preferred class
-    before = _flat(spark, d)
-    after = G.per_small_group(before, "image_id", lambda p: G.suppress(p, rules, at=0.3), _FLAT)
+    """The funnel of every class: rows seen, with a readable box, left by overlap resolution and by the rules, and what was lost where."""
+    seen = T(spark, d, "detections")
+    parsed = _flat(spark, d)
+    resolved = _resolved(spark, d)
+    after = G.per_small_group(resolved, "image_id", lambda p: G.suppress(p)[0], _FLAT)
     n = lambda x, c: x.groupBy("class_id").agg(F.count("*").alias(c))
-    return n(before, "n_before").join(n(after, "n_after"), "class_id", "left").select("class_id", "n_before", F.coalesce("n_after", F.lit(0)).alias("n_after"))
+    out = n(seen, "n_seen")
+    for x, c in ((parsed, "n_parsed"), (resolved, "n_resolved"), (after, "n_after")):
+        out = out.join(n(x, c), "class_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_parsed", "n_resolved", "n_after")}
+    return out.select("class_id", "n_seen", *[v.alias(c) for c, v in zero.items()], (zero["n_parsed"] - zero["n_resolved"]).alias("lost_by_overlap"), (zero["n_resolved"] - zero["n_after"]).alias("lost_by_rule"))
 
 
 @query("C19")
@@ -219,7 +274,10 @@ def slot_assignment(spark, d):
     """Detections of every picture assigned to nine slots by position rules."""
     n = C.box("bbox_norm")
     x = T(spark, d, "detections").where("deleted_at is null and conf > 0.4").select("image_id", "detection_id", "class_id", "conf", n.alias("n")).where("n is not null")
-    x = x.select("image_id", "detection_id", "class_id", "conf", *[F.col("n")[c].alias(c) for c in ("left", "top", "right", "bottom")]).distinct()
+    x = x.select("image_id", "detection_id", "class_id", "conf", "n").distinct()
+    f = lambda v: F.lit(float(v))
+    zone = Z.zones(F.col("n")) | {"shoulder": Z.on_shoulder(F.col("n"), F.col("class_id"), (f(-1), f(1.2)), (f(1), f(1.2)))}  # shoulders where they mostly are
+    x = x.select("image_id", "detection_id", "class_id", "conf", *[F.col("n")[c].alias(c) for c in ("left", "top", "right", "bottom")], *[zone[z].alias(f"in_{z}") for z in G.SLOT_ZONES], zone["tie_neck"].alias("in_tie"))
     ptr = T(spark, d, "imagesdetections").groupBy("image_id").agg(F.max_by(F.struct("left_pointer_x", "left_pointer_y", "right_pointer_x", "right_pointer_y"), "id").alias("p")).select("image_id", "p.*")
     cols = ", ".join(f"{s} long" for s in ("left_hand", "right_hand", *G.SLOT_ZONES))
     return G.per_small_group(x.join(ptr, "image_id"), "image_id", G.assign_slots, f"image_id long, {cols}")
@@ -333,4 +391,6 @@ def source_divergence(spark, d):
     dx, dy = F.col("right_pointer_x") - F.col("left_pointer_x"), F.col("right_pointer_y") - F.col("left_pointer_y")
     x = x.select(F.sqrt(dx * dx + dy * dy).alias("dist"), dx.alias("dx"))
     r = lambda e: F.round(e, 6)
-    return x.agg(F.count("*").alias("n"), r(F.avg("dist")).alias("mean_dist"), r(F.percentile("dist", F.lit(0.5))).alias("median_dist"), r(F.stddev_pop("dist")).alias("sd_dist"), r(F.percentile("dist", F.lit(0.95))).alias("p95_dist"), F.when(F.avg("dx") > 0, "right").otherwise("left").alias("bias"))
+    q = SL.exact_quantiles(x, None, "dist", {"m": 0.5, "p": 0.95})
+    s = x.agg(F.count("*").alias("n"), r(F.avg("dist")).alias("mean_dist"), r(F.stddev_pop("dist")).alias("sd_dist"), F.when(F.avg("dx") > 0, "right").otherwise("left").alias("bias"))
+    return s.join(q).select("n", "mean_dist", r(F.col("m")).alias("median_dist"), "sd_dist", r(F.col("p")).alias("p95_dist"), "bias")  # one row each

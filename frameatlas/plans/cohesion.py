@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameatlas.runtime import table
+from frameatlas.operators.slices import exact_quantiles
+from frameatlas.runtime import materialize, table
 
 
 def member_distances(vectors: DataFrame, item: str, cluster: str, vec: str) -> DataFrame:
@@ -22,11 +23,10 @@ def member_distances(vectors: DataFrame, item: str, cluster: str, vec: str) -> D
 
 
 def cohesion_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = member_distances(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-    return d.groupBy(F.col("cluster").alias("label")).agg(
-        F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("avg_dist"), F.round(F.stddev_pop("dist"), 6).alias("std_dist"),
-        F.round(F.expr("percentile_disc(0.9) within group (order by dist)"), 6).alias("p90_dist"),
-    )
+    d = materialize(member_distances(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), "distances").df
+    stats = d.groupBy(F.col("cluster").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("avg_dist"), F.round(F.stddev_pop("dist"), 6).alias("std_dist"))
+    p90 = exact_quantiles(d, "cluster", "dist", {"p90_dist": 0.9}, nearest=True).select(F.col("cluster").alias("label"), F.round("p90_dist", 6).alias("p90_dist"))
+    return stats.join(p90, "label")
 
 
 DISTANCES_SQL = """

@@ -7,8 +7,10 @@ from pyspark.sql.window import Window as W
 
 from frameatlas.functions import columns as C
 from frameatlas.operators import matrices as M
+from frameatlas.operators import slices as SL
 from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.registry import query
+from frameatlas.runtime import materialize
 from frameatlas.runtime import table as T
 
 
@@ -16,10 +18,11 @@ from frameatlas.runtime import table as T
   SELECT 'smallest' AS bucket, cluster_id, n FROM r WHERE a <= 5 UNION ALL SELECT 'largest', cluster_id, n FROM r WHERE z <= 5 UNION ALL SELECT 'middle', cluster_id, n FROM r WHERE abs(a - ceil(k / 2.0)) <= 2""")
 def reviewer_buckets(spark, d):
     n = T(spark, d, "imagesbodyposes3d").where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    w = W.partitionBy(F.lit(1))  # one row per cluster
-    r = n.select("*", F.row_number().over(w.orderBy("n", "cluster_id")).alias("a"), F.row_number().over(w.orderBy(F.col("n").desc(), "cluster_id")).alias("z"), F.count("*").over(w).alias("k"))
-    pick = lambda c, b: r.where(c).select(F.lit(b).alias("bucket"), "cluster_id", "n")
-    return pick("a <= 5", "smallest").unionByName(pick("z <= 5", "largest")).unionByName(pick(F.abs(F.col("a") - F.ceil(F.col("k") / 2.0)) <= 2, "middle"))
+    n = materialize(n, "sizes").df
+    placed = ordered_positions(n, ["n", "cluster_id"], "a")
+    middle = F.abs(F.col("a") - F.ceil(F.lit(n.count()) / 2.0)) <= 2
+    pick = lambda x, b: x.select(F.lit(b).alias("bucket"), "cluster_id", "n")
+    return pick(n.orderBy("n", "cluster_id").limit(5), "smallest").unionByName(pick(n.orderBy(F.col("n").desc(), "cluster_id").limit(5), "largest")).unionByName(pick(placed.where(middle), "middle"))
 
 
 @query("W4 R3", """WITH n AS (SELECT site_name_id, gender_id, count(*) AS n FROM images GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY site_name_id) AS total FROM n)
@@ -38,14 +41,13 @@ def _first_words(c):
   SELECT image_id, coalesce(lead3 = lag(lead3) OVER (PARTITION BY site_name_id ORDER BY image_id), false) AS repeats FROM w""")
 def repeat_flag_lag(spark, d):
     w = T(spark, d, "images").where("description is not null").select("site_name_id", "image_id", _first_words(F.col("description")).alias("lead3"))
-    prev = F.lag("lead3").over(W.partitionBy("site_name_id").orderBy("image_id"))
-    return w.select("image_id", F.coalesce(F.col("lead3") == prev, F.lit(False)).alias("repeats"))
+    return SL.previous(w, "site_name_id", ["image_id"], "lead3", "before").select("image_id", F.coalesce(F.col("lead3") == F.col("before"), F.lit(False)).alias("repeats"))
 
 
 @query("W8", "SELECT image_id, last_value(location_id IGNORE NULLS) OVER (PARTITION BY site_name_id ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known_location FROM images")
 def last_valid_value(spark, d):
-    w = W.partitionBy("site_name_id").orderBy("image_id").rowsBetween(W.unboundedPreceding, 0)
-    return T(spark, d, "images").select("image_id", F.last("location_id", ignorenulls=True).over(w).alias("known_location"))
+    i = T(spark, d, "images").select("site_name_id", "image_id", "location_id")
+    return SL.last_known(i, "site_name_id", ["image_id"], "location_id", "known_location").select("image_id", "known_location")
 
 
 @query("W9", "SELECT event_id, count(*) OVER w AS n_near, round(avg(value) OVER w, 6) AS mean_near FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 10 FOLLOWING)")
@@ -143,7 +145,7 @@ def remainder_bins(spark, d):
 def angle_bin_cycle(spark, d):
     """Rows dealt in turns over the angle bins: first of every bin, then second of every bin, ..."""
     b = T(spark, d, "encodings_migration").where("face_z is not null").select("encoding_id", F.round(F.col("face_z").cast("double") / 5).cast("long").alias("bin"))
-    return b.withColumn("turn", F.row_number().over(W.partitionBy("bin").orderBy("encoding_id")))
+    return SL.grouped_positions(b, "bin", ["encoding_id"], "turn").drop("turn_of")
 
 
 @query("T3 X37")

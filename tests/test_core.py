@@ -15,6 +15,7 @@ from frameatlas import catalog
 from frameatlas.functions import columns as C
 from frameatlas.functions.stem import key_candidates, stem
 from frameatlas.operators import grouped as G
+from frameatlas.operators import zones as Z
 from frameatlas.operators import matrices as M
 from frameatlas.operators import orphans as O
 from frameatlas.operators import pairs as P
@@ -119,15 +120,42 @@ def box(i, cls, conf, l, t, r, b):
     return {"image_id": 1, "detection_id": i, "obj_no": 0, "class_id": cls, "conf": conf, "left": l, "top": t, "right": r, "bottom": b}
 
 
+def test_overlaps_are_resolved():
+    first, wide, other, far = box(1, 5, 0.5, 0, 0, 10, 10), box(2, 5, 0.9, 0, 0, 10, 11), box(3, 6, 0.4, 0, 0, 10, 10), box(4, 7, 0.3, 50, 50, 60, 60)
+    assert [r["detection_id"] for r in G.resolve_overlaps([first, wide, other, far])] == [1, 4]  # the last pair is first against other
+    out = G.resolve_overlaps([first, wide, far])
+    assert [r["detection_id"] for r in out] == [2, 4] and out[0]["bottom"] == 11
+    # neither sure nor clear, different classes: both stay
+    assert len(G.resolve_overlaps([box(1, 5, 0.5, 0, 0, 10, 10), box(2, 6, 0.5, 0, 2, 10, 12)])) == 2
+    # the bonus of a preferred class decides
+    assert [r["detection_id"] for r in G.resolve_overlaps([box(1, 67, 0.65, 0, 0, 10, 10), box(2, 137, 0.55, 0, 0, 10, 10)])] == [2]
+
+
+def test_suppression_rules_and_events():
+    left, events = G.suppress([box(1, 67, 0.5, 0, 0, 9, 9), box(2, 137, 0.4, 0, 0, 9, 9), box(3, 127, 0.1, 0, 0, 9, 9), box(4, 137, 0.9, 50, 50, 60, 60)])
+    assert {r["detection_id"] for r in left} == {2, 4}
+    assert [(e["rule"], e["decision"], e["winner"], e["loser"]) for e in events] == [("pair_67_137", "suppress", 2, 1), ("family_127_calculator", "suppress", 2, 3)]
+    tie = G.suppress([box(1, 67, 0.5, 0, 0, 9, 9), box(2, 137, 0.3, 0, 0, 9, 9)])
+    assert [r["detection_id"] for r in tie[0]] == [2] and tie[1][0]["by_tie"]
+
+
 def test_group_rules():
-    rows = [box(1, 5, 0.5, 0, 0, 10, 10), box(2, 5, 0.9, 0, 0, 10, 11), box(3, 6, 0.4, 0, 0, 10, 10), box(4, 7, 0.3, 50, 50, 60, 60)]
-    assert [r["detection_id"] for r in G.resolve_overlaps(rows)] == [2, 4]
-    assert {r["detection_id"] for r in G.suppress([box(1, 26, 0.5, 0, 0, 9, 9), box(2, 27, 0.4, 0, 0, 9, 9)], {(26, 27): 27})} == {2}
     merged = G.merge_adjacent([box(1, 5, 0.5, 0, 0, 10, 10), box(2, 5, 0.6, 25, 0, 30, 10), box(3, 5, 0.7, 300, 0, 310, 10)])
     assert sorted(r["n_merged"] for r in merged) == [1, 2]
     hands = {"left_pointer_x": 0.0, "left_pointer_y": 3.0, "right_pointer_x": 0.0, "right_pointer_y": 8.0}
-    out = G.assign_slots([box(1, 5, 0.9, -0.2, 2.9, 0.2, 3.1) | hands, box(2, 6, 0.8, -0.2, 0.2, 0.2, 0.4) | hands])[0]
+    nowhere = {f"in_{z}": False for z in (*G.SLOT_ZONES, "tie")}
+    rows = [box(1, 5, 0.9, -0.2, 2.9, 0.2, 3.1) | hands | nowhere, box(2, 6, 0.8, -0.2, 0.2, 0.2, 0.4) | hands | nowhere | {"in_mouth": True}, box(3, 7, 0.7, -0.2, 0.2, 0.2, 0.4) | hands | nowhere | {"in_mouth": True}]
+    out = G.assign_slots(rows)[0]
     assert out["left_hand"] == 1 and out["mouth"] == 2 and out["right_hand"] is None
+    assert G.assign_slots(rows, {(6, "mouth"): 0})[0]["mouth"] == 3 and G.assign_slots(rows, {(6, "mouth"): 1})[0]["mouth"] == 3
+
+
+def test_matrix_is_checked(spark):
+    rows = [(c, *[k % 3 for k in range(8)]) for c in range(3)]
+    assert Z.checked_matrix(spark.createDataFrame(rows, ["class_id", *Z.MATRIX_SLOTS]), 3).count() == 24
+    for bad in (rows[:2], [*rows[:2], (2, 7, *[0] * 7)]):
+        with pytest.raises(ValueError):
+            Z.checked_matrix(spark.createDataFrame(bad, ["class_id", *Z.MATRIX_SLOTS]), 3)
 
 
 def test_orderings_visit_everything_once():
