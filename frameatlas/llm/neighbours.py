@@ -212,7 +212,7 @@ def most_similar(
 
     _only_new = False
     home = base.df.mapInArrow(first_pass, _ROUTED)
-    found = materialize(merged(home.groupBy("leaf").applyInArrow(search, _FOUND)), "knn-found")
+    found = materialize(merged(home.repartition(len(top.leaves), "leaf").groupBy("leaf").applyInArrow(search, _FOUND)), "knn-found")
     if len(top.leaves) > 1:
         far = F.when(F.size("near") > k, F.get("near", F.lit(k))["dist"])
         late = found.df.select("h1", "h2", F.coalesce(far, F.lit(float("inf"))).alias("kth")).where(F.col("kth") > hint)

@@ -158,24 +158,27 @@ def p8_report(spark, sf_dir: str) -> DataFrame:
     return total.select("*", F.lit(bound).cast("long").alias("least_windows"), F.round(F.col("n_tokens") / (F.nullif(F.col("n_windows"), F.lit(0)) * CAPACITY), 6).alias("filled"))
 
 
+SMALL, FEW = 128, 50  # a window and partitions small enough that bounds are missed and texts exchanged
+
+
 def p8_rounds(spark, sf_dir: str) -> DataFrame:
-    """The rounds of a packing over many small partitions (100 items each), in which partitions with a gap exchange texts."""
+    """The rounds of a packing into windows of 128 tokens over partitions of 50 items, in which partitions with a gap exchange texts."""
     trace: list[dict] = []
-    pack(items(table(spark, sf_dir, "documents")), items_per_part=100, trace=trace)
+    pack(items(table(spark, sf_dir, "documents"), capacity=SMALL), capacity=SMALL, items_per_part=FEW, trace=trace)
     return spark.createDataFrame(trace, "round int, parts int, items long, windows long, gap long, pooled long")
 
 
 def p8_checks(spark, sf_dir: str) -> DataFrame:
     """Of that packing: texts placed, and how many break a rule (token lost or placed twice, window overfull, short text cut)."""
-    sized = materialize(items(table(spark, sf_dir, "documents")), "pack-items").df
-    packed = materialize(pack(sized, items_per_part=100), "packed").df
-    overfull = packed.groupBy("bin_id").agg(F.sum("tokens").alias("t")).where(F.col("t") > CAPACITY).agg(F.count("*").alias("n_overfull"))
+    sized = materialize(items(table(spark, sf_dir, "documents"), capacity=SMALL), "pack-items").df
+    packed = materialize(pack(sized, capacity=SMALL, items_per_part=FEW), "packed").df
+    overfull = packed.groupBy("bin_id").agg(F.sum("tokens").alias("t")).where(F.col("t") > SMALL).agg(F.count("*").alias("n_overfull"))
     of = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("t"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.min("start_token").alias("start"))
     was = sized.groupBy("doc_id").agg(F.sum("tokens").alias("t0"))
     by_doc = was.join(of, "doc_id", "full").agg(
         F.count("pieces").alias("n_docs"),
         F.count_if(~F.col("t").eqNullSafe(F.col("t0")) | (F.col("end") != F.col("t0")) | (F.col("start") != 0)).alias("n_wrong"),
-        F.count_if((F.col("t0") <= CAPACITY) & (F.col("pieces") > 1)).alias("n_cut"),
+        F.count_if((F.col("t0") <= SMALL) & (F.col("pieces") > 1)).alias("n_cut"),
     )
     return by_doc.join(overfull)  # one row each
 
