@@ -7,7 +7,7 @@ import importlib
 from frameatlas.operators import orphan_queries
 from frameatlas.plans import cohesion, registry
 
-for _name in ("cohorts", "aggregates", "rankings", "scalars", "clustering", "texts", "reports", "feeds"):
+for _name in ("cohorts", "aggregates", "rankings", "scalars", "clustering", "texts", "reports", "feeds", "stages"):
     try:
         importlib.import_module(f"frameatlas.plans.{_name}")
     except ModuleNotFoundError as e:

@@ -88,7 +88,7 @@ def static_pivot(spark, d):
     return M.wide_counts(x, "cluster_id", "orientation", list(range(4)), "o_").join(x.groupBy("cluster_id").agg(F.count_if(F.col("orientation").isNull()).alias("o_none")), "cluster_id")
 
 
-@query("A15 R13", f"WITH {SLOT_SQL}, det AS (SELECT detection_id, max(class_id) AS class_id FROM detections GROUP BY 1) SELECT class_id, {', '.join(f'count(*) FILTER (WHERE slot = {chr(39)}{s}{chr(39)}) AS {s}' for s in SLOTS)}, count(*) AS total FROM sl JOIN det ON det.detection_id = sl.detection_id GROUP BY 1")
+@query("R13", f"WITH {SLOT_SQL}, det AS (SELECT detection_id, max(class_id) AS class_id FROM detections GROUP BY 1) SELECT class_id, {', '.join(f'count(*) FILTER (WHERE slot = {chr(39)}{s}{chr(39)}) AS {s}' for s in SLOTS)}, count(*) AS total FROM sl JOIN det ON det.detection_id = sl.detection_id GROUP BY 1")
 def class_slot_matrix(spark, d):
     det = T(spark, d, "detections").groupBy("detection_id").agg(F.max("class_id").alias("class_id"))
     return M.with_total(M.wide_counts(slots_long(spark, d).join(det, "detection_id"), "class_id", "slot", SLOTS, ""), SLOTS)

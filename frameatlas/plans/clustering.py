@@ -16,6 +16,7 @@ from frameatlas.operators import pairs as P
 from frameatlas.operators import signatures as SG
 from frameatlas.operators import slices as SL
 from frameatlas.operators import zones as Z
+from frameatlas.operators.lloyd import kmeans
 from frameatlas.operators.nearest import assign_nearest
 from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import SLOTS, detection_dim, slots_long
@@ -25,16 +26,13 @@ from frameatlas.runtime import materialize
 from frameatlas.runtime import table as T
 
 
-def fit_kmeans(df, vec: str, k: int, inits: int = 3, seed: int = 42):
-    """The cheapest of a few seeded k-means fits."""
-    data = df.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features")).persist()
-    models = [KMeans(k=k, maxIter=300, seed=seed + i, initMode="k-means||").fit(data) for i in range(inits)]
-    data.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(df, vec: str, k: int, inits: int = 10, seed: int = 42):
+    """Centres of the cheapest of ten seeded fits, all made in the same passes over the data."""
+    return kmeans(df, vec, k, fits=inits, seed=seed)[0]
 
 
-def model_centres(spark, model):
-    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+def model_centres(spark, centres):
+    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
 
 
 @query("C1 C5 C6")
@@ -55,12 +53,12 @@ def silhouette_by_k(spark, d):
 
 @query("C8")
 def oversized_split(spark, d):
-    """Segments above a size are split into ceil(n / 500) parts by k-means; smaller ones stay whole."""
+    """Segments above a size are split into max(1, ceil(n / 100) - 2) parts by k-means; smaller ones stay whole."""
     e = T(spark, d, "embeddings").select("vec_id", "label", "embedding").withColumn("seg", F.col("label") % 2)
     sizes = e.groupBy("seg").agg(F.count("*").alias("n")).collect()  # one row per segment
     out = None
     for r in sorted(sizes, key=lambda r: r["seg"]):
-        part, k = e.where(F.col("seg") == r["seg"]), max(1, -(-r["n"] // 500))
+        part, k = e.where(F.col("seg") == r["seg"]), max(1, -(-r["n"] // 100) - 2)
         if k == 1:
             done = part.select("vec_id", "seg", F.lit(0).alias("part"))
         else:
@@ -344,7 +342,7 @@ def duplicate_chain(spark, d):
     return j.select("encoding_id", "image_id", is_dupe.alias("is_dupe"), F.col("keeper").alias("keeper_id"), (F.col("review").isNotNull() & ~is_dupe).alias("review"))
 
 
-@query("A30 A29 D3")
+@query("A30 D3")
 def geometric_median(spark, d):
     """Per cluster the point with the least sum of distances, against the mean's sum."""
 

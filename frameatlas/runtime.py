@@ -14,6 +14,7 @@ import ctypes
 import glob
 import os
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -64,10 +65,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The file system of a path and the path in its terms."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
 
 
 def _cleanup() -> None:
@@ -128,6 +134,17 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int | None = None) ->
     return df.where(F.pmod(F.xxhash64(F.lit(77), F.col(key)), F.lit(steps)) < F.lit(int(steps * (rows / n))))
 
 
+def retried(fn, times: int = 5, wait: float = 1.0, on: tuple[type[BaseException], ...] = (OSError,)):
+    """The result of ``fn``, tried up to ``times`` times; the wait doubles from try to try, other errors pass through."""
+    for n in range(times):
+        try:
+            return fn()
+        except on:
+            if n + 1 == times:
+                raise
+            time.sleep(wait * 2**n)
+
+
 @lru_cache(maxsize=1)
 def single_blas_thread() -> bool:
     """Call inside Arrow functions: tasks already use every core, so matrix products must not start threads of their own."""

@@ -38,18 +38,36 @@ def write_artifact(df: DataFrame, path: str, kind: str) -> dict:
     return m
 
 
+def append_artifact(df: DataFrame, path: str, kind: str) -> dict:
+    """Rows added to an artifact of the same kind and columns; its manifest counts them."""
+    spark = df.sparkSession
+    old = spark.read.parquet(f"{path}/data")
+    if [[c, t] for c, t in df.dtypes] != json.loads(read_text(spark, f"{path}/manifest.json") or "{}").get("columns"):
+        raise ValueError("columns differ from the manifest's")
+    read_artifact(spark, path, kind)
+    df.select(*old.columns).write.mode("append").parquet(f"{path}/data")
+    m = {"contract_version": CONTRACT, "kind": kind, "rows": spark.read.parquet(f"{path}/data").count(), "columns": [[c, t] for c, t in df.dtypes]}
+    write_text(spark, f"{path}/manifest.json", json.dumps(m, sort_keys=True))
+    return m
+
+
 def read_artifact(spark: SparkSession, path: str, kind: str | None = None, csv_schema: str | None = None) -> DataFrame:
-    """The Parquet data, or CSV at ``path`` where there is none; a manifest of another contract or kind is refused."""
+    """The Parquet data, or CSV at ``path`` where there is none; a manifest of another contract, kind or number of rows is refused."""
     text = read_text(spark, f"{path}/manifest.json")
+    rows = None
     if text is not None:
         m = json.loads(text)
+        rows = m.get("rows")
         if m.get("contract_version") != CONTRACT:
             raise ValueError(f"contract_version {m.get('contract_version')}, expected {CONTRACT}")
         if kind and m.get("kind") != kind:
             raise ValueError(f"kind {m.get('kind')}, expected {kind}")
     fs, p = _fs(spark, f"{path}/data")
     if fs.exists(p):
-        return spark.read.parquet(f"{path}/data")
+        data = spark.read.parquet(f"{path}/data")
+        if rows is not None and data.count() != rows:  # from the footers
+            raise ValueError(f"{rows} rows in the manifest of {path}, other data")
+        return data
     if csv_schema is None:
         raise FileNotFoundError(path)
     return spark.read.schema(csv_schema).option("header", True).csv(path)
