@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -32,26 +33,21 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [get(w) for w in ws if w])
 
 
-def key_candidates(word: str) -> list[str]:
+def lookup_keys(word: Column) -> Column:
     """Spellings under which a dictionary may hold a word: itself, singular, plural, verb forms."""
-    out = [word]
-    if word.endswith("ies"):
-        out.append(word[:-3] + "y")
-    if word.endswith("es"):
-        out.append(word[:-2])
-    if word.endswith("s"):
-        out.append(word[:-1])
-    else:
-        out += [word + "s", word + "es"]
-    if word.endswith("y"):
-        out.append(word[:-1] + "ies")
-    if word.endswith("ing"):
-        out += [word[:-3], word[:-3] + "e"]
-    else:
-        out += [word + "ing", word.rstrip("e") + "ing"]
-    return list(dict.fromkeys(out))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def lookup_keys(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if not w else key_candidates(w))
+    ends = lambda e: word.endswith(e)
+    cut = lambda n: F.left(word, F.length(word) - n)
+    forms = [
+        word,
+        F.when(ends("ies"), F.concat(cut(3), F.lit("y"))),
+        F.when(ends("es"), cut(2)),
+        F.when(ends("s"), cut(1)),
+        F.when(~ends("s"), F.concat(word, F.lit("s"))),
+        F.when(~ends("s"), F.concat(word, F.lit("es"))),
+        F.when(ends("y"), F.concat(cut(1), F.lit("ies"))),
+        F.when(ends("ing"), cut(3)),
+        F.when(ends("ing"), F.concat(cut(3), F.lit("e"))),
+        F.when(~ends("ing"), F.concat(word, F.lit("ing"))),
+        F.when(~ends("ing"), F.concat(F.regexp_replace(word, "e+$", ""), F.lit("ing"))),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*forms)))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameatlas.runtime import partitions_for
+from frameatlas.runtime import materialize, partitions_for
 
 
 def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dict]], schema: str, rows_per_batch: int = 20_000) -> DataFrame:
@@ -24,7 +24,8 @@ def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dic
     A call per picture costs more than the rule itself, so keys are hashed into batches
     whose number follows the rows; a batch holds whole groups.
     """
-    n = partitions_for(df.count(), rows_per_batch)
+    written = materialize(df, "groups")  # counted from the footers: what makes the rows runs once
+    df, n = written.df, partitions_for(written.rows(), rows_per_batch)
     fields = [f.strip().split()[0] for f in schema.split(",")]
     kinds = {f.strip().split()[0]: f.strip().split()[1] for f in schema.split(",")}
 
@@ -37,21 +38,6 @@ def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dic
     return df.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_batch").applyInPandas(run, schema)
 
 
-# ---------------------------------------------------------------- geometric median
-def weiszfeld(x: np.ndarray, tol: float = 1e-7, steps: int = 200) -> np.ndarray:
-    """The point with the least sum of Euclidean distances; tiny components become 0."""
-    m = x.mean(0)
-    for _ in range(steps):
-        d = np.maximum(np.linalg.norm(x - m, axis=1), 1e-12)
-        nxt = (x / d[:, None]).sum(0) / (1 / d).sum()
-        if np.linalg.norm(nxt - m) < tol:
-            m = nxt
-            break
-        m = nxt
-    m = np.where(np.abs(m) < 1e-6, 0.0, m)
-    return np.zeros_like(m) if (np.abs(m) < 0.01).all() else m
-
-
 # ---------------------------------------------------------------- boxes of one picture
 def _by_id(r: dict):
     return r["detection_id"], -1 if pd.isna(r["obj_no"]) else r["obj_no"]

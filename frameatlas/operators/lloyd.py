@@ -1,4 +1,4 @@
-"""Several seeded k-means fits at once: every pass over the data serves all of them.
+"""Several seeded k-means fits at once, and geometric medians: every pass over the data serves all of them.
 
 Seeds come from k-means++ on a bounded sample (``sample_rows``); the passes run over
 all rows.  A task gives one row of sums per fit and cluster; those are added up in a
@@ -89,3 +89,57 @@ def kmeans(df: DataFrame, vector: str, k: int, fits: int = 10, most_passes: int
             break
     best = min(costs, key=lambda f: (costs[f], f))
     return centres[best], costs[best]
+
+
+def geometric_medians(df: DataFrame, group: str, vector: str, most_passes: int = 40, tolerance: float = 1e-5) -> DataFrame:
+    """``group, n, median, median_cost, mean_cost``: per group the point with the least sum of distances, and that sum and the mean's.
+
+    Every pass adds, per task and group, the vectors and ones over their distances to
+    the current point; the sums of all tasks move the point (Weiszfeld).  Groups are a
+    table, joined by key, so their number isn't bounded by the driver; a group's rows are
+    never together.  Components below 1e-6 become 0.  Null groups and vectors take no part.
+    """
+    spark = df.sparkSession
+    rows = materialize(df.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).cast("long").alias("group"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "medians").df
+    sums = "group long, n long, weight double, cost double, total array<double>"
+    point = "group long, n long, moved double, cost double, at array<double>"
+
+    def near(batches):
+        acc: dict[int, list] = {}
+        for b in batches:
+            v, at, g = _rows(b.column("v")), _rows(b.column("at")), b.column("group").to_numpy(zero_copy_only=False)
+            d = np.sqrt(((v - at) ** 2).sum(1))
+            w = 1 / np.maximum(d, 1e-12)
+            one, which = np.unique(g, return_inverse=True)
+            total = np.zeros((len(one), v.shape[1]))
+            np.add.at(total, which, v * w[:, None])
+            for j, k in enumerate(one.tolist()):
+                own = which == j
+                a = acc.setdefault(k, [0, 0.0, 0.0, np.zeros(v.shape[1])])
+                acc[k] = [a[0] + int(own.sum()), a[1] + w[own].sum(), a[2] + d[own].sum(), a[3] + total[j]]
+        cols = [list(acc), *([a[i] for a in acc.values()] for i in range(3)), [a[3].tolist() for a in acc.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())))], names=["group", "n", "weight", "cost", "total"])
+
+    def moved(t: pa.Table) -> pa.Table:
+        old, total = _rows(t["old"].combine_chunks())[0], _rows(t["total"].combine_chunks()).sum(0)
+        new = total / t["weight"].to_numpy().sum()
+        return pa.table({"group": t["group"][:1], "n": [int(t["n"].to_numpy().sum())], "moved": [float(np.linalg.norm(new - old))], "cost": [float(t["cost"].to_numpy().sum())], "at": [new.tolist()]})
+
+    dims = rows.select(F.max(F.size("v"))).first()[0] or 0
+    start = rows.groupBy("group").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(dims)]).alias("at")) if dims else None
+    if start is None:
+        return spark.createDataFrame([], "group long, n long, median array<double>, median_cost double, mean_cost double")
+    state, first = materialize(start, "median"), None
+    for n in range(most_passes + 1):
+        parts = rows.join(state.df.select("group", "at"), "group").mapInArrow(near, sums)
+        old = state.df.select("group", F.col("at").alias("old"))
+        now = materialize(parts.join(old, "group").groupBy("group").applyInArrow(moved, point), "median")
+        first = first or now  # costs at the means
+        far = now.df.where(F.col("moved") >= tolerance).limit(1).count()
+        if not far or n == most_passes:
+            break
+        if state is not first:
+            state.drop()
+        state = now
+    small = F.transform("at", lambda x: F.when(F.abs(x) < 1e-6, 0.0).otherwise(x))
+    return now.df.select("group", "n", small.alias("median"), F.col("cost").alias("median_cost")).join(first.df.select("group", F.col("cost").alias("mean_cost")), "group")

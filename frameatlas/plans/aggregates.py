@@ -103,7 +103,8 @@ def dense_matrix_full_axes(spark, d):
     return M.with_total(M.with_total(m, cols), ["c_27", "c_67"], "sum_27_67")
 
 
-@query("A16 A17 A34 R12")
+@query("A16 A17 A34 R12", "WITH n AS (SELECT meta_cluster_id AS bin, " + ", ".join(f"count(*) FILTER (WHERE class_id = {c}) AS c_{c}" for c in range(141)) + ", count(class_id) AS total FROM detections WHERE meta_cluster_id IS NOT NULL GROUP BY 1) SELECT r.i AS bin, "
+  + ", ".join(f"coalesce(c_{c}, 0) AS c_{c}" for c in range(141)) + ", coalesce(total, 0) AS total FROM (SELECT unnest(range(0, (SELECT max(meta_cluster_id) + 1 FROM detections))) AS i) AS r LEFT JOIN n ON n.bin = r.i")
 def dense_matrix_all_classes(spark, d):
     """Meta clusters by classes: both axes run from 0 to the largest id of the data, absent cells are 0, the total holds every class."""
     x = T(spark, d, "detections")
@@ -245,7 +246,11 @@ def grouped_json_list(spark, d):
     return T(spark, d, "ingest_items").groupBy("site_name_id", "site_image_id").agg(F.count("*").alias("n_items"), F.to_json(ids).alias("items"))
 
 
-@query("F16")
+@query("F16", """WITH e AS (SELECT encoding_id, CAST(face_x AS DOUBLE) AS x, CAST(face_y AS DOUBLE) AS y, CAST(face_z AS DOUBLE) AS z FROM encodings_migration),
+  s AS (SELECT quantile_cont(x, 0.5) AS mx, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS ix, quantile_cont(y, 0.5) AS my, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iy, quantile_cont(z, 0.5) AS mz, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS iz, count(x) // 2 AS target FROM e),
+  n AS (SELECT encoding_id, greatest(abs(x - mx) / ix, abs(y - my) / iy, abs(z - mz) / iz) AS need, target FROM e, s WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+  g AS (SELECT 3.0::DOUBLE * (i + 1) / 4096 AS scale FROM range(4096) AS r(i)), k AS (SELECT coalesce(min(g.scale), 3.0) AS scale FROM g WHERE (SELECT count(*) FROM n WHERE n.need <= g.scale) >= (SELECT max(target) FROM n))
+  SELECT encoding_id, scale FROM n, k WHERE need <= scale""")
 def adaptive_iqr(spark, d):
     """Head poses kept when half of all rows are wanted, with the scale found."""
     e = T(spark, d, "encodings_migration").select("encoding_id", "face_x", "face_y", "face_z")

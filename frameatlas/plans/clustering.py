@@ -16,7 +16,7 @@ from frameatlas.operators import pairs as P
 from frameatlas.operators import signatures as SG
 from frameatlas.operators import slices as SL
 from frameatlas.operators import zones as Z
-from frameatlas.operators.lloyd import kmeans
+from frameatlas.operators.lloyd import geometric_medians, kmeans
 from frameatlas.operators.nearest import assign_nearest
 from frameatlas.operators.relational import ordered_positions
 from frameatlas.plans.cohorts import SLOTS, detection_dim, slots_long
@@ -288,7 +288,8 @@ def windowed_pair_distance(spark, d):
     return P.window_pairs(e, "pos", 50, ["vec_id", "embedding"]).select("vec_id_a", "vec_id_b", F.round(C.l2(F.col("embedding_a"), F.col("embedding_b")), 5).alias("dist"))
 
 
-@query("J14")
+@query("J14", """WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings)
+  SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 5) AS dist FROM e AS a JOIN e AS b ON b.pos BETWEEN a.pos + 1 AND a.pos + CASE WHEN a.pos <= 1000 THEN 100 ELSE 50 END""")
 def windowed_pair_distance_early(spark, d):
     """Pairs up to 100 positions after the first 1,000 rows, up to 50 after later ones."""
     e = ordered_positions(T(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "pos")
@@ -345,14 +346,8 @@ def duplicate_chain(spark, d):
 @query("A30 D3")
 def geometric_median(spark, d):
     """Per cluster the point with the least sum of distances, against the mean's sum."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        m = G.weiszfeld(x)
-        cost = lambda c: float(np.linalg.norm(x - c, axis=1).sum())
-        return pd.DataFrame({"label": [int(pdf["label"].iloc[0])], "n": [len(x)], "median_cost": [round(cost(m), 4)], "mean_cost": [round(cost(x.mean(0)), 4)]})
-
-    return T(spark, d, "embeddings").select("label", "embedding").groupBy("label").applyInPandas(run, "label int, n long, median_cost double, mean_cost double")
+    e = T(spark, d, "embeddings").select("label", "embedding")
+    return geometric_medians(e, "label", "embedding").select(F.col("group").alias("label"), "n", F.round("median_cost", 4).alias("median_cost"), F.round("mean_cost", 4).alias("mean_cost"))
 
 
 def _ordered(spark, d, order):

@@ -287,7 +287,7 @@ def upsert_last_wins(spark, d):
     return R.upsert(R.upsert(old, new, ["user_id"], "seq"), new, ["user_id"], "seq").drop("seq")
 
 
-@query("C29")
+@query("C29", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL) AS x WHERE r = 1")
 def registry_first_wins(spark, d):
     """A write-once registry: the first value of a key stays, whatever is computed for it later; replays change nothing."""
     e = T(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts").where("user_id is not null")

@@ -102,21 +102,25 @@ def stemmed_counts(spark, d):
     return w.groupBy("stem").agg(F.count("*").alias("n"))
 
 
-@query("X7")
+@query("X7", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(description), '[a-z]+')) AS word FROM images), u AS (SELECT word FROM w WHERE length(word) BETWEEN 4 AND 15),
+  k AS (SELECT word, unnest([word, CASE WHEN suffix(word, 'ies') THEN word[:-4] || 'y' END, CASE WHEN suffix(word, 'es') THEN word[:-3] END, CASE WHEN suffix(word, 's') THEN word[:-2] ELSE word || 's' END, CASE WHEN NOT suffix(word, 's') THEN word || 'es' END, CASE WHEN suffix(word, 'y') THEN word[:-2] || 'ies' END,
+    CASE WHEN suffix(word, 'ing') THEN word[:-4] ELSE word || 'ing' END, CASE WHEN suffix(word, 'ing') THEN word[:-4] || 'e' ELSE rtrim(word, 'e') || 'ing' END]) AS key FROM u),
+  v AS (SELECT DISTINCT unnest(string_split(topic, ' ')) AS key FROM topics WHERE topic IS NOT NULL)
+  SELECT word, min(key) AS key FROM k JOIN v USING (key) GROUP BY 1""")
 def plural_key_lookup(spark, d):
     """Words of descriptions found in the topic dictionary under any of their number or verb forms."""
     vocab = T(spark, d, "topics").where("topic is not null").select(F.explode(F.split("topic", " ")).alias("key")).distinct()
     words = T(spark, d, "images").where("description is not null").select(F.explode(C.tokens(F.col("description"), 4)).alias("word")).distinct()
-    return words.select("word", F.explode(lookup_keys("word")).alias("key")).join(vocab, "key").groupBy("word").agg(F.min("key").alias("key"))
+    return words.select("word", F.explode(lookup_keys(F.col("word"))).alias("key")).join(vocab, "key").groupBy("word").agg(F.min("key").alias("key"))
 
 
-@query("X12")
+@query("X12", """SELECT item_id, site_name_id, site_image_id, nullif(trim(CASE WHEN site_name_id BETWEEN 1 AND 12 AND site_name_id % 3 = 0 THEN replace(keywords, '|', ', ') ELSE title END), '') AS caption, strftime(received_at, '%Y-%m-%d') AS uploaddate FROM ingest_items""")
 def site_mapped_items(spark, d):
     """Intake records in the shape of pictures: one projection, the per-site rules in a table."""
     rules = spark.createDataFrame([(s, "title" if s % 3 else "keywords", s % 2 == 0) for s in range(1, 13)], "site_name_id int, text_from string, upper boolean")
     j = T(spark, d, "ingest_items").join(F.broadcast(rules), "site_name_id", "left")
     text = F.when(F.col("text_from") == "keywords", F.replace("keywords", F.lit("|"), F.lit(", "))).otherwise(F.col("title"))
-    return j.select("item_id", "site_name_id", "site_image_id", F.nullif(F.trim(text), F.lit("")).alias("caption"), F.to_date("received_at").alias("uploaddate"))
+    return j.select("item_id", "site_name_id", "site_image_id", F.nullif(F.trim(text), F.lit("")).alias("caption"), F.date_format("received_at", "yyyy-MM-dd").alias("uploaddate"))
 
 
 @query("W7 A26 R21", "SELECT site_name_id, description, count(*) AS n FROM images WHERE description IS NOT NULL AND description <> '' GROUP BY 1, 2 HAVING count(*) > 1")
