@@ -28,16 +28,18 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from frameatlas.llm.vptree import Tree, distances, nearest
 from frameatlas.runtime import hash_sample, materialize, single_blas_thread
 
-_ROUTED = "leaf int, h1 long, h2 long, ids array<long>, vec binary, slack float"
+_ROUTED = "leaf int, h1 long, h2 long, ids array<long>, vec binary, slack float, ask boolean"
 LAST: dict[str, float] = {}  # what the latest call chose, for reports
 _FOUND = "h1 long, h2 long, near array<struct<dist: double, id: long>>"
 
@@ -130,16 +132,25 @@ def _pick_relax(sample: np.ndarray, q: np.ndarray, kth: np.ndarray, near: list[n
 
 def most_similar(
     df: DataFrame, item: str, row: str, vector: str, k: int = 5, size: int = 128, relax: float | None = None, target_recall: float = 0.97,
-    shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, per_shard: int = 16, most_per_shard: int = 100_000,
+    shards: int | None = None, leaf_rows: int = 512, sample_rows: int = 8_192, probes: int = 192, per_shard: int = 16, most_per_shard: int = 100_000, asked: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """``(item, neighbour_id, distance)``: k rows per item with a usable vector."""
+    """``(item, neighbour_id, distance)``: k rows per item with a usable vector.
+
+    ``asked`` says of an item whether it is a query; all items are searched in any case.
+    """
+    wanted_item = asked or (lambda _: F.lit(True))
     single_blas_thread()  # many small products: threads of their own only wait for each other
     spark = df.sparkSession
     src = materialize(packed(df, item, row, vector, size, relax == 1.0).select("item", "row", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "knn-packed")
     firsts = materialize(src.df.groupBy("item").agg(F.min(F.struct("row", "h1", "h2")).alias("m")).select("item", "m.*"), "knn-items")
     smallest = firsts.df.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("item"))).where(F.col("r") <= k + 1)
     classes = smallest.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("item")).alias("ids"), F.min_by("row", "item").alias("row"))
-    base = materialize(src.df.select("row", "vec").join(classes, "row").select("h1", "h2", "ids", "vec"), "knn-base")
+    if asked:  # a class asks if any of its items does
+        asking = firsts.df.where(wanted_item(F.col("item"))).select("h1", "h2").distinct().withColumn("ask", F.lit(True))
+        classes = classes.join(asking, ["h1", "h2"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    else:
+        classes = classes.withColumn("ask", F.lit(True))
+    base = materialize(src.df.select("row", "vec").join(classes, "row").select("h1", "h2", "ids", "vec", "ask"), "knn-base")
     src.drop()
     n = base.rows()
     if n == 0:
@@ -155,7 +166,7 @@ def most_similar(
     LAST.update(relax=factor, hint=hint, shards=len(top.leaves), rows=n)
     shared = spark.sparkContext.broadcast(top)  # at most 2 x sample_rows vectors
 
-    def routed(h1, h2, idlists, vec, slack_rows, done_slack):
+    def routed(h1, h2, idlists, vec, slack_rows, done_slack, ask=None):
         """Rows for the shards to visit; ``done_slack`` rules out what an earlier pass visited."""
         tree, x = shared.value, unpack(vec, size)
         earlier = {}
@@ -172,12 +183,13 @@ def most_similar(
             lists = idlists.take(at) if first else pa.nulls(len(keep), pa.list_(pa.int64()))
             if first:
                 lists = pa.array([v if h else None for v, h in zip(lists.to_pylist(), is_home)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), lf, np.int32)), h1.take(at), h2.take(at), lists, vec.take(at), pa.array(slack_rows[keep].astype(np.float32))], names=["leaf", "h1", "h2", "ids", "vec", "slack"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), lf, np.int32)), h1.take(at), h2.take(at), lists, vec.take(at), pa.array(slack_rows[keep].astype(np.float32)), ask.take(at) if ask is not None else pa.array(np.ones(len(keep), bool))], names=["leaf", "h1", "h2", "ids", "vec", "slack", "ask"])
 
     def first_pass(batches):
         single_blas_thread()
         for b in batches:
-            yield from routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.full(b.num_rows, factor * hint), None)
+            ask = b.column("ask")  # what doesn't ask only goes home
+            yield from routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.where(ask.to_numpy(zero_copy_only=False), factor * hint, -1.0), None, ask)
 
     def second_pass(batches):
         single_blas_thread()
@@ -191,7 +203,9 @@ def most_similar(
         x_all = unpack(leaf["vec"], size)
         lists = leaf["ids"].to_pylist()
         data = np.array([i for i, v in enumerate(lists) if v is not None], int)
-        queries = np.arange(len(lists)) if not _only_new else np.array([i for i, v in enumerate(lists) if v is None], int)
+        queries = np.flatnonzero(leaf["ask"].to_numpy())
+        if _only_new:
+            queries = queries[[lists[i] is None for i in queries]]
         if not len(data) or not len(queries):
             return pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64())])))})
         best, dist = nearest(x_all[data], x_all[queries], k + 1, factor, hint, leaf_rows)
@@ -223,7 +237,7 @@ def most_similar(
             own = base.df.mapInArrow(lambda bs: (r.filter(pa.array([v is not None for v in r.column("ids").to_pylist()], pa.bool_())) for b in bs for r in routed(b.column("h1"), b.column("h2"), b.column("ids"), b.column("vec"), np.zeros(b.num_rows), None)), _ROUTED)
             more = own.join(F.broadcast(need), "leaf", "left_semi").unionByName(owed.df).groupBy("leaf").applyInArrow(search, _FOUND)
             found = materialize(merged(found.df.unionByName(more)), "knn-found")
-    joined = firsts.df.select("item", "h1", "h2").join(found.df, ["h1", "h2"])
+    joined = firsts.df.where(wanted_item(F.col("item"))).select("item", "h1", "h2").join(found.df, ["h1", "h2"])
     others = F.slice(F.filter("near", lambda p: p["id"] != F.col("item")), 1, k)
     apart = joined.withColumn("_others", others).select("item", F.explode("_others").alias("p"))
     return apart.select(F.col("item").alias(item), F.col("p.id").alias("neighbour_id"), F.col("p.dist").alias("distance"))

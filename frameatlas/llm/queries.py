@@ -18,16 +18,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search with factor 1, which restores exact results."""
-    return neighbours.most_similar(table(spark, sf_dir, "encodings_migration"), "image_id", "encoding_id", "face_encodings68", relax=1.0).select("image_id", "neighbour_id")
+    """The images whose id is divisible by 100, against all, with factor 1, which restores exact search."""
+    return neighbours.most_similar(table(spark, sf_dir, "encodings_migration"), "image_id", "encoding_id", "face_encodings68", relax=1.0, asked=lambda item: item % 100 == 0).select("image_id", "neighbour_id")
 
 
 def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images whose id is divisible by 100, against all: true neighbours, and whether nine in ten of them are found."""
-    asked = F.col("image_id") % 100 == 0
-    true = p3_exact(spark, sf_dir).where(asked)
-    found = p3_found(spark, sf_dir).where(asked).withColumn("hit", F.lit(1))
-    joined = true.join(found, ["image_id", "neighbour_id"], "left")
+    """Of those images the true neighbours, and whether nine in ten of them are found by the relaxed search."""
+    found = p3_found(spark, sf_dir).where(F.col("image_id") % 100 == 0).withColumn("hit", F.lit(1))
+    joined = p3_exact(spark, sf_dir).join(found, ["image_id", "neighbour_id"], "left")
     return joined.agg(F.count_distinct("image_id").alias("n_queries"), F.count("*").alias("n_true"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_met"))
 
 
@@ -80,7 +78,7 @@ usable AS (SELECT image_id, min(encoding_id) AS encoding_id FROM encodings_migra
 vec AS (SELECT u.image_id, CAST(e.face_encodings68 AS FLOAT[128]) AS v FROM usable AS u JOIN encodings_migration AS e USING (encoding_id)),
 pairs AS (SELECT a.image_id, b.image_id AS neighbour_id, row_number() OVER (PARTITION BY a.image_id ORDER BY list_distance(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), b.image_id) AS r FROM vec AS a JOIN vec AS b ON a.image_id <> b.image_id{where}),
 near AS (SELECT image_id, neighbour_id FROM pairs WHERE r <= 5)"""
-_P3_SQL = f"WITH {_P3_TRUE.format(where='')} SELECT image_id, neighbour_id FROM near"
+_P3_SQL = f"WITH {_P3_TRUE.format(where=' AND a.image_id % 100 = 0')} SELECT image_id, neighbour_id FROM near"
 _P3_RECALL_SQL = f"WITH {_P3_TRUE.format(where=' AND a.image_id % 100 = 0')} SELECT count(DISTINCT image_id) AS n_queries, count(*) AS n_true, true AS recall_met FROM near"
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_exact": p3_exact, "p3_recall": p3_recall, "p4_found": p4_found, "p4_hot": p4_hot, "p7_found": p7_found, "p7_groups": p7_groups, **canon.QUERIES, **truncation.QUERIES, **packing.QUERIES, **mixing.QUERIES, **toxicity.QUERIES}

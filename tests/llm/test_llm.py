@@ -104,6 +104,8 @@ def test_factor_one_is_exact_on_the_vectors_as_they_are(spark):
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:3]}
     assert len(want & set(zip(got.id, got.neighbour_id))) >= 0.98 * len(want)
+    some = neighbours.most_similar(df, "id", "row", "v", k=3, size=8, relax=1.0, shards=4, leaf_rows=32, asked=lambda i: i % 10 == 0).toPandas()
+    assert set(zip(some.id, some.neighbour_id)) == {(a, b) for a, b in zip(got.id, got.neighbour_id) if a % 10 == 0}
 
 
 def test_tree_relaxed_to_one_is_exact():
