@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from frameatlas.runtime import materialize, partitions_for
 
 
+_DTYPES = {"long": "Int64", "int": "Int64", "double": "float64", "string": "object", "boolean": "object"}
+
+
 def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dict]], schema: str, rows_per_batch: int = 20_000) -> DataFrame:
     """``fn`` on the records of every group of ``key``, many groups to one Python call.
 
@@ -32,8 +35,8 @@ def per_small_group(df: DataFrame, key: str, fn: Callable[[list[dict]], list[dic
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         records = pdf.drop(columns="_batch").sort_values(key, kind="stable").to_dict("records")
         out = [r for _, g in itertools.groupby(records, key=lambda r: r[key]) for r in fn(list(g))]
-        frame = pd.DataFrame({f: [r[f] for r in out] for f in fields})
-        return frame.astype({f: "Int64" for f, k in kinds.items() if k in ("long", "int")})
+        # typed by the schema: without a record pandas would take text for numbers, which Arrow refuses
+        return pd.DataFrame({f: pd.Series([r[f] for r in out], dtype=_DTYPES[kinds[f]]) for f in fields})
 
     return df.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_batch").applyInPandas(run, schema)
 

@@ -140,6 +140,15 @@ def test_suppression_rules_and_events():
     assert [r["detection_id"] for r in tie[0]] == [2] and tie[1][0]["by_tie"]
 
 
+def test_a_batch_without_events(spark):
+    rows = spark.createDataFrame([(i, i) for i in range(6)], "image_id long, n long")
+    schema = "image_id long, rule string, winner long, by_tie boolean, conf double"
+    assert G.per_small_group(rows, "image_id", lambda p: [], schema).collect() == []
+    some = lambda p: [{"image_id": r["image_id"], "rule": "x", "winner": None, "by_tie": True, "conf": None} for r in p if r["n"] == 0]
+    out = G.per_small_group(rows, "image_id", some, schema, 1).collect()  # most batches have no event
+    assert [tuple(r) for r in out] == [(0, "x", None, True, None)]
+
+
 def test_group_rules():
     merged = G.merge_adjacent([box(1, 5, 0.5, 0, 0, 10, 10), box(2, 5, 0.6, 25, 0, 30, 10), box(3, 5, 0.7, 300, 0, 310, 10)])
     assert sorted(r["n_merged"] for r in merged) == [1, 2]
