@@ -6,21 +6,26 @@ sentence's.  Labels are given for documents, some of them wrongly, so training w
 on sentences: those of documents labelled 0 are negative; of a document labelled 1 the
 sentences that the kernel finds worst, judged by models trained without the document,
 are positive.  No word list takes part: the start is the log odds of the kernel's own
-hashed subsequences, and every later choice is the machine's.
+hashed subsequences, and every later choice is the machine's, apart from sentences that
+the labels alone convict (``_Bags.evident``): those are positive and among the landmarks
+even if nothing else resembles them.
 
-Training takes about ``max_labelled`` labelled documents (whole documents, by hash;
+Training takes about ``max_labelled`` different labelled texts (whole texts, by hash;
 all of them in the given data).  Everything else runs where the documents lie, in one
 pass without a shuffle, with a weight table of a MB; a task scores a sentence once,
 however many of its documents hold it.
 
 Defined cases: null and empty texts and texts without a letter, digit or star get no
 score (null) and are not flagged; without a document labelled 1 and one labelled 0
-nothing is flagged and scores are null; repeated documents get equal scores; a
-document labelled twice counts by its highest label.
+nothing is flagged and scores are null; repeated documents get equal scores and train
+once, by the label that most of them have; a document labelled twice counts by its
+highest label.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameatlas.llm import strkernel
-from frameatlas.runtime import hash_sample, single_blas_thread, table
+from frameatlas.runtime import hash_sample, materialize, single_blas_thread, table
 
+LEVEL = 1e-3  # chance at which the labels alone convict a sentence
 KEPT = 200_000  # scored sentences that a task remembers
 
 
@@ -40,11 +46,18 @@ def _cut(batches):
 
 
 def training_sentences(docs: DataFrame, labels: DataFrame, max_labelled: int) -> pd.DataFrame:
-    """``doc_id, toxic, sentence`` of labelled documents, bounded by whole documents."""
+    """``doc_id, toxic, sentence`` of labelled texts, bounded by whole texts.
+
+    Copies of a text count once, with the label that most of them have (1 where both are as many), so
+    the bound holds that many different texts, however often a text is repeated.
+    """
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = hash_sample(own, "doc_id", max_labelled)
-    texts = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    return texts.join(own, "doc_id").select("doc_id", "toxic", "text").mapInPandas(_cut, "doc_id long, toxic int, sentence string").toPandas()
+    texts = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text").join(own, "doc_id")
+    one = materialize(texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "labelled")
+    some = hash_sample(one.df, "doc_id", max_labelled, one.rows())
+    out = some.select("doc_id", "toxic", "text").mapInPandas(_cut, "doc_id long, toxic int, sentence string").toPandas()
+    one.drop()
+    return out
 
 
 def _log_odds(texts: list[str], plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +75,62 @@ def _log_odds(texts: list[str], plus: np.ndarray, minus: np.ndarray) -> tuple[np
 
 
 class _Bags:
-    """Labelled documents as bags of distinct sentences; a pair is one sentence of one document."""
+    """Labelled documents as bags of distinct sentences; a pair is one sentence of one document.
+
+    Copies (documents of the same sentences) are one bag with the label that most of them
+    have: else a machine that isn't shown a document would know it from its copies.
+    """
 
     def __init__(self, rows: pd.DataFrame, folds: int, rng):
         rows = rows.drop_duplicates(["doc_id", "sentence"])
-        self.texts, self.s = np.unique(rows.sentence.to_numpy(object), return_inverse=True)
-        docs, self.b = np.unique(rows.doc_id.to_numpy(), return_inverse=True)
-        self.label = np.zeros(len(docs), int)
-        np.maximum.at(self.label, self.b, rows.toxic.to_numpy(int))
+        self.texts, s = np.unique(rows.sentence.to_numpy(object), return_inverse=True)
+        docs, b = np.unique(rows.doc_id.to_numpy(), return_inverse=True)
+        label = np.zeros(len(docs), int)
+        np.maximum.at(label, b, rows.toxic.to_numpy(int))
+        order = np.lexsort((s, b))
+        seen: dict[bytes, int] = {}
+        kind = np.array([seen.setdefault(part.tobytes(), len(seen)) for part in np.split(s[order], np.searchsorted(b[order], np.arange(1, len(docs))))], int)
+        self.label = (2 * np.bincount(kind, label) >= np.bincount(kind)).astype(int)
+        one = np.isin(b, np.unique(kind, return_index=True)[1])
+        self.s, self.b = s[one], kind[b[one]]
         self.on = self.label[self.b] == 1
-        self.fold = rng.integers(0, folds, len(docs))[self.b]
+        self.fold = rng.integers(0, folds, len(seen))[self.b]
         self.n1, self.n0 = self.count(self.on), self.count(~self.on)
         # labels are wrong at times, but a sentence of which a third of the labels say 0 is no candidate
         self.open = 2 * self.n0 <= self.n1
         self.cand = self.on & self.open[self.s]
 
+    def evident(self, start: np.ndarray, level: float = LEVEL) -> np.ndarray:
+        """Sentences (a mask) that the labels alone convict: too many of their documents are labelled 1 for chance.
+
+        The bound on that chance is Chernoff's, ``exp(-n KL)``.  A document that a stronger sentence explains speaks
+        for no other one.
+        """
+        p, bar = self.label.mean(), -np.log(level)
+        left = {int(i): set() for i in np.flatnonzero(self.open & (self.n1 > 1))}
+        for i, b in zip(self.s[self.cand].tolist(), self.b[self.cand].tolist()):
+            if i in left:
+                left[i].add(b)
+
+        def proof(i: int) -> float:
+            n1, n0 = len(left[i]), self.n0[i]
+            q = n1 / max(1, n1 + n0)
+            return 0.0 if q <= p else n1 * np.log(q / p) + (n0 * np.log((1 - q) / (1 - p)) if n0 else 0.0)
+
+        out, told = np.zeros(len(self.texts), bool), set()
+        heap = [(-proof(i), -start[i], i) for i in left]
+        heapq.heapify(heap)
+        while heap and -heap[0][0] >= bar:
+            have, _, i = heapq.heappop(heap)
+            left[i] -= told
+            now = proof(i)
+            if now < -have:
+                heapq.heappush(heap, (-now, -start[i], i))
+                continue
+            out[i] = True
+            told |= left[i]
+        return out
+
     def count(self, pairs: np.ndarray) -> np.ndarray:
         return np.bincount(self.s[pairs], minlength=len(self.texts))
 
@@ -118,19 +172,23 @@ def train(rows: pd.DataFrame, landmarks: int = 300, negatives: int = 4_000, fold
     for half in (0, 1):
         use = np.arange(len(texts)) % 2 != half
         start[~use] = strkernel.score(list(texts[~use]), *_log_odds(list(texts[use]), plus[use], n0[use]), 0.0)
+    sure = bags.evident(start)
     # a pool of likely positives and of common, hard and any negatives
-    likely = np.unique(s[bags.best(start[s], 3, np.inf, -np.inf)])
+    likely = np.unique(s[bags.best(start[s], 3, np.inf, -np.inf) | (bags.cand & sure[s])])
     innocent = np.flatnonzero(~bags.open & (n0 > 0))
     by_count, by_start = innocent[np.lexsort((innocent, -n0[innocent]))], innocent[np.lexsort((innocent, -start[innocent]))]
     pool = list(dict.fromkeys([*likely, *by_count[: negatives // 4], *by_start[: negatives // 4], *rng.permutation(innocent)]))[: len(likely) + negatives]
     few = min(len(likely), landmarks // 2)
     order = np.argsort(-start[likely], kind="stable")
-    marks = [*rng.permutation(order[: max(few, len(likely) // 2)])[:few], *(len(likely) + rng.permutation(len(pool) - len(likely)))[: landmarks - few]]
+    first = rng.permutation(np.flatnonzero(sure[likely]))[:few]
+    rest = rng.permutation(order[: max(few, len(likely) // 2)])
+    marks = [*first, *rest[~np.isin(rest, first)][: few - len(first)], *(len(likely) + rng.permutation(len(pool) - len(likely)))[: landmarks - few]]
     machine = strkernel.Machine([texts[i] for i in pool], [int(i) for i in marks])
     # what is thought of every pair by a machine that didn't see its document
     held = start[s]
     for r in range(rounds):
-        witness = bags.best(held, 1, np.inf, -np.inf) if r == 0 else bags.best(held, 1, 0.0, -0.9)  # below, the label is taken for wrong
+        shown = np.where(sure[s], np.maximum(held, 1 + np.abs(held).max()), held)  # what is evident is a document's witness
+        witness = bags.best(shown, 1, np.inf, -np.inf) if r == 0 else bags.best(shown, 1, 0.0, -0.9)  # below, the label is taken for wrong
         # an innocent document's sentence that the other documents contradict doesn't train
         minus_pairs = ~bags.on & ~bags.open[s] & ((held < 0.9) | (r == 0))
         at = np.array(pool)

@@ -326,6 +326,27 @@ def test_toxicity_held_out(spark):
     assert none is None and toxicity.score_documents(d, none, ["doc_id"]).where("flagged").count() == 0
 
 
+def test_labels_alone_convict_a_sentence():
+    rows = [(i, int(i < 40), f"calm {i % 60}") for i in range(300)]
+    rows += [(i, 1, x) for i in range(6) for x in ("jump off a bridge", f"beside it {i % 2}")]  # the bridge explains all six
+    rows += [(i, 1, "twice") for i in (7, 8)] + [(i, int(i < 40), "as often as not") for i in (9, 10, 11, 12, 50, 51, 52, 53)]
+    rows += [(i, 1, x) for i in range(20, 30) for x in ("copied", "and copied")]
+    rows = pd.DataFrame([(d, t, x) for d, t, x in rows if not (20 <= d < 30 and x.startswith("calm"))], columns=["doc_id", "toxic", "sentence"])
+    bags = toxicity._Bags(rows, 4, np.random.default_rng(1))
+    assert list(bags.texts[bags.evident(np.zeros(len(bags.texts)))]) == ["jump off a bridge"]
+
+
+def test_copies_of_a_labelled_text_train_once(spark):
+    texts = ["you pig. the lamp is soft", "the crop is good", "you pig. the lamp is soft", "you pig. the lamp is soft"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_sentences(d, lab, 20_000)
+    assert sorted(zip(rows.toxic, rows.sentence)) == [(0, "the crop is good"), (1, "the lamp is soft"), (1, "you pig")]
+    copies = pd.DataFrame([(i, int(i != 2), x) for i in (0, 2, 3) for x in ("you pig", "the lamp is soft")] + [(1, 0, "the crop is good")], columns=["doc_id", "toxic", "sentence"])
+    bags = toxicity._Bags(copies, 4, np.random.default_rng(1))
+    assert sorted(bags.label) == [0, 1] and len(bags.s) == 3 and bags.n1.max() == 1
+
+
 def _one(text, key=None, companion=None, limit=np.nan):
     return truncation.features([text], ["1"], np.array([limit]), [key], [companion], 0, np.zeros(truncation.SLOTS, np.int8))[0]
 
